@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import bpe, pack
+from changeloom.llm import bpe, pack, subjects
 from changeloom.sources.tables import table
 
 
@@ -26,5 +26,14 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_packed, p8_fill)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the corpus by subject; one of two subjects counts in both."""
+    return p9_found(spark, d).groupBy("subject_code").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_packed, p8_fill, p9_found, p9_composition)}
 ORACLE: dict[str, str] = {}
