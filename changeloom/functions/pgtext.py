@@ -159,7 +159,7 @@ def multirange_parts(c: Column | str, strict: bool = False) -> Column:
     one = f"(?:{_RANGE})"
     form = rf"^\{{\s*(?:{one}(?:\s*,\s*{one})*)?\s*\}}$"
     found = F.regexp_extract_all(s, F.lit(rf"([\[(]{_BOUND},{_BOUND}[\])])"), F.lit(1))
-    return _checked(s, s.rlike(form), F.transform(found, range_parts), "multirange", strict)
+    return _checked(s, s.rlike(form), F.transform(found, lambda r: range_parts(r)), "multirange", strict)
 
 
 def _numbers(s: Column) -> Column:

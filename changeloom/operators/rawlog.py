@@ -46,12 +46,11 @@ def open_floor(begins: DataFrame, ends: DataFrame) -> DataFrame:
     return begins.join(ends.select("xid"), "xid", "left_anti").agg(F.min("first_lsn").alias("floor"))
 
 
-def sealed_batches(changes: DataFrame, table: list[str], max_rows: int, slices: int = 64) -> DataFrame:
-    """(table, batch_no, row_count, lsn_start, lsn_end): batches of whole transactions, cut at the first commit at which
-    ``max_rows`` rows are reached.
+def sealed_batches(changes: DataFrame, table: list[str], max_rows: int) -> DataFrame:
+    """(table, batch_no, row_count, lsn_start, lsn_end): batches of whole transactions of about ``max_rows`` rows.
 
-    Cutting depends only on commit sizes: rows are counted per commit before the shuffle, so a window sees one row per
-    commit, not per change.
+    A transaction goes to the batch that the rows before it, divided by ``max_rows``, fall into. Rows are counted per
+    commit before the shuffle, so the window sees one row per commit, not per change.
     """
     per = changes.groupBy(*table, "commit_lsn").agg(F.count(F.lit(1)).alias("n"), F.min("lsn").alias("a"), F.max("lsn").alias("b"))
     w = Window.partitionBy(*table).orderBy("commit_lsn").rowsBetween(Window.unboundedPreceding, -1)

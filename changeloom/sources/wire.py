@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators import common
+
 #: Microseconds from the Unix epoch to 2000-01-01, the epoch of timestamps on the wire.
 EPOCH = 946_684_800_000_000
 NULL, UNCHANGED, TEXT, BINARY = "n", "u", "t", "b"
@@ -212,30 +214,53 @@ def _as_row(frame_no: int, frame_lsn: str, m: dict[str, Any]) -> tuple:
     )
 
 
+class State:
+    """What a decoder carries from frame to frame: whether a stream block is open, and the open transaction."""
+
+    def __init__(self, block: bool = False, xid: int | None = None):
+        self.block, self.xid = block, xid
+
+    def decode(self, payload: bytes) -> dict[str, Any]:
+        m = decode(payload, self.block)
+        tag = m["tag"]
+        if tag == "S":
+            self.block, self.xid = True, m["xid"]
+        elif tag == "B":
+            self.xid = m["xid"]
+        if "xid" not in m and self.xid is not None:
+            m["xid"] = self.xid
+        if tag == "E":
+            self.block, self.xid = False, None
+        elif tag == "C":
+            self.xid = None
+        return m
+
+
 def decode_frames(frames: DataFrame, partitions: int = 8) -> DataFrame:
     """Rows of (frame_no, frame_lsn, payload), in the schema ``ROW``; ``frame_no`` gives the order."""
     ordered = frames.select("frame_no", "frame_lsn", "payload").repartitionByRange(partitions, "frame_no").sortWithinPartitions("frame_no")
+    ordered = common.checkpoint(ordered)  # both passes must see the same partitions
+    number = lambda at: F.conv(F.hex(F.substring("payload", at, 4)), 16, 10).cast("bigint")
+    tag = F.decode(F.substring("payload", 1, 1), "ISO-8859-1")
     marks = (
-        ordered.withColumn("part", F.spark_partition_id())
-        .withColumn("tag", F.substring(F.decode(F.substring("payload", 1, 1), "ISO-8859-1"), 1, 1))
-        .where(F.col("tag").isin("S", "E"))
-        .groupBy("part").agg(F.max_by("tag", "frame_no").alias("last"), F.min("frame_no").alias("from"), F.max("frame_no").alias("to"))
+        ordered.select("frame_no", F.spark_partition_id().alias("part"), tag.alias("tag"), F.when(tag == "S", number(2)).when(tag == "B", number(18)).alias("xid"))
+        .where(F.col("tag").isin("S", "E", "B", "C"))
+        .groupBy("part").agg(F.max(F.struct("frame_no", "tag", "xid")).alias("m")).select("m.*")
     )
-    # One row per partition: where its last block mark stands and whether it opens a block.
-    last = sorted((r["to"], r["last"] == "S") for r in marks.collect())
+    # One row per partition: its last mark, hence the state that it leaves.
+    last = sorted((r["frame_no"], r["tag"], r["xid"]) for r in marks.collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_block: bool | None = None
+        state: State | None = None
         for pdf in batches:
             out = []
             for no, lsn, payload in zip(pdf["frame_no"], pdf["frame_lsn"], pdf["payload"], strict=True):
-                if open_block is None:
-                    before = [opens for at, opens in last if at < no]
-                    open_block = before[-1] if before else False
-                m = decode(bytes(payload), open_block)
-                open_block = m["tag"] == "S" or (open_block and m["tag"] != "E")
-                out.append(_as_row(no, lsn, m))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROW_COLUMNS]).astype(
+                if state is None:
+                    before = [m for m in last if m[0] < no]
+                    tag, xid = before[-1][1:] if before else ("E", None)
+                    state = State(tag == "S", xid if tag in ("S", "B") else None)
+                out.append(_as_row(no, lsn, state.decode(bytes(payload))))
+            yield pd.DataFrame(out, columns=[*ROW_COLUMNS]).astype(
                 {c: "Int64" for c in ("frame_no", "xid", "sub_xid", "rel", "time_micros")} | {"old_is_key": "boolean"}
             )
 
