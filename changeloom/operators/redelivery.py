@@ -87,7 +87,8 @@ def repeats(ids: DataFrame, identity: list[str], id_col: str, position: Column)
     """(keep_id, dup_id): every row that is not the smallest id of its message, with that smallest id."""
     rows = addressed(ids.select(id_col, *dict.fromkeys([*identity])), identity, position)
     rows = located(rows, segment_counts(rows)).select(id_col, *identity, "_bucket", "_segment", "_cells")
-    possible = screen(rows, build_filter(rows, at_least=2)).select(id_col, *identity)
+    # Read twice below; few rows pass the screen, so they are written once instead of being screened again.
+    possible = common.checkpoint(screen(rows, build_filter(rows, at_least=2)).select(id_col, *identity))
     # Copies of one message are first reduced within salts, so that a message repeated without end fills no task.
     salted = possible.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
     part = salted.groupBy(*identity, "_salt").agg(F.min(id_col).alias("k"), F.count(F.lit(1)).alias("n"))
