@@ -14,7 +14,7 @@ changes change nothing. Rows with null op, position or key are no changes; a tru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import envelope, lsn, objects
@@ -91,12 +91,48 @@ def current_rows(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return folded.select(*KEY, "lsn")
 
 
+def _inherited(changes: DataFrame, events: DataFrame) -> DataFrame:
+    """(key, pos, field, value): fields that a key change did not send, with the value they had under the old key.
+
+    Looked up as of the key change, in rounds: a value that the old key itself inherited is sought under its own old key. Positions
+    fall from round to round, so this ends; each round handles only fields still sought, and reads only their keys.
+    """
+    moved = changes.where("op = 'u' AND row_key IS NOT NULL AND old_key <> row_key AND pos IS NOT NULL AND size(unset) > 0")
+    moves = moved.selectExpr(*KEY, "pos", "old_key AS source", "explode(unset) AS field").distinct()
+    sought = common.checkpoint(moves.selectExpr(*TABLE, "row_key AS target", "pos AS at", "field", "source AS row_key", "pos AS before"))
+    none = "CAST(null AS string)"
+    history = [
+        events.selectExpr(*KEY, "explode(sets) AS (field, value)", "pos", f"{none} AS source", "1 AS rank"),
+        moves.selectExpr(*KEY, "field", f"{none} AS value", "pos", "source", "1 AS rank"),
+    ]
+    resets = events.where("removes OR replaces").selectExpr(*KEY, "pos")
+    truncates = changes.where("op = 't' AND pos IS NOT NULL").select(*TABLE, "pos").distinct()
+    found = events.selectExpr(*KEY, "pos", f"{none} AS field", f"{none} AS value").where("false")
+    w = Window.partitionBy(*KEY, "field").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("rank") >= 0, F.struct("pos", "rank", "value", "source")), ignorenulls=True).over(w)
+    while not sought.isEmpty():
+        asked = common.broadcast_if_small(sought.select(*KEY, "field").distinct()).alias("b")
+        per_field = [h.alias("a").join(asked, common.same([*KEY, "field"]), "left_semi") for h in history]
+        reset = resets.alias("a").join(asked, common.same(KEY)).select("b.*", "a.pos")
+        wiped = truncates.alias("a").join(asked, common.same(TABLE)).select("b.*", "a.pos")
+        blank = [r.selectExpr("*", f"{none} AS value", f"{none} AS source", "0 AS rank") for r in (reset, wiped)]
+        marks = sought.selectExpr(*KEY, "field", "before AS pos", "-1 AS rank", "target", "at")
+        rows = marks
+        for r in (*per_field, *blank):
+            rows = rows.unionByName(r, allowMissingColumns=True)
+        answers = common.checkpoint(rows.withColumn("f", last).where("rank = -1").select(*TABLE, "target", "at", "field", "f"))
+        got = answers.where("f.rank = 1 AND f.source IS NULL")
+        found = found.unionByName(got.selectExpr(*TABLE, "target AS row_key", "at AS pos", "field", "f.value"))
+        sought = answers.where("f.source IS NOT NULL").selectExpr(*TABLE, "target", "at", "field", "f.source AS row_key", "f.pos AS before")
+    return found.select(*KEY, "pos", "field", "value")
+
+
 def current_fields(log: DataFrame, manifest: DataFrame) -> DataFrame:
     """As ``current_rows``, with ``fields``: a map of the row's fields and values as text, each from its last writer.
 
     Source tables differ in columns, so fields are folded in long form: one aggregation per (key, field), which keeps
-    states small, then one per key. A field named in unchanged_toast is not set by that change. Field names are those
-    of the files; see ``drift`` for renames. Null values are kept.
+    states small, then one per key. A field named in unchanged_toast is not set by that change; after a key change it comes
+    from the row of the old key. Field names are those of the files; see ``drift`` for renames. Null values are kept.
     """
     spark = log.sparkSession
     changes = positioned(log, manifest, "unchanged_toast").selectExpr(
@@ -109,16 +145,17 @@ def current_fields(log: DataFrame, manifest: DataFrame) -> DataFrame:
         ), changes=changes,
     )
     key = ", ".join(KEY)
+    sets = events.selectExpr(*KEY, "pos", "explode(sets) AS (field, value)").unionByName(_inherited(changes, events))
     long = spark.sql(
         f"""SELECT {key}, field, max_by(named_struct('p', pos, 'v', value), pos) AS last,
                    max(set_pos) AS set_pos, max(removed_pos) AS removed_pos, max(replaced_pos) AS replaced_pos, max_by(lsn, set_pos) AS lsn
-            FROM (SELECT {key}, pos, s.key AS field, s.value AS value, null AS set_pos, null AS removed_pos, null AS replaced_pos, null AS lsn
-                  FROM {{events}} LATERAL VIEW explode(sets) s
+            FROM (SELECT {key}, pos, field, value, null AS set_pos, null AS removed_pos, null AS replaced_pos, null AS lsn FROM {{sets}}
                   UNION ALL
                   SELECT {key}, pos, null, null, if(removes, null, pos), if(removes, pos, null), if(replaces, pos, null), if(removes, null, lsn)
                   FROM {{events}})
             GROUP BY {key}, field""",
         events=events,
+        sets=sets,
     )
     folded = spark.sql(
         f"""SELECT {key}, collect_list(struct(field, last)) FILTER (WHERE field IS NOT NULL) AS lasts, max(set_pos) AS set_pos,

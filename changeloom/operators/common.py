@@ -43,9 +43,11 @@ def read_changes(log: DataFrame, *extra: str) -> DataFrame:
     """A change log with its identity columns in normal form.
 
     Adds ``epoch``, ``source_schema``, ``source_table`` from the envelope, and replaces ``lsn`` by its normal form.
-    ``extra`` names further envelope fields, which come as ``m_<field>``.
+    ``extra`` names further envelope fields, which come as ``m_<field>``. Columns of the log that have these names already
+    give way to them.
     """
-    df = envelope.read(log, "epoch", "source_schema", "source_table", *extra)
+    taken = ["epoch", "source_schema", "source_table", *[envelope.PREFIX + f for f in envelope.FIELDS]]
+    df = envelope.read(log.drop(*taken), "epoch", "source_schema", "source_table", *extra)
     return df.withColumns({"lsn": lsn.normal("lsn")}).withColumnsRenamed(
         {"m_epoch": "epoch", "m_source_schema": "source_schema", "m_source_table": "source_table"}
     )

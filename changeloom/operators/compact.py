@@ -53,7 +53,7 @@ def merged_messages(log: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame
 
     Adds ``schema_version`` and ``out_part``, the partition, which with the group names the file a row goes to.
     """
-    rows = common.read_changes(log, "schema_version").withColumnRenamed("m_schema_version", "schema_version")
+    rows = common.read_changes(log.drop("schema_version", "out_part"), "schema_version").withColumnRenamed("m_schema_version", "schema_version")
     rest = [c for c in rows.columns if c not in common.IDENTITY and c != "rid"]
     ranged = clustered(rows, partitions_for(log, target_rows))
     one = ranged.groupBy(*common.IDENTITY).agg(F.min(F.struct("rid", *rest)).alias("m"))

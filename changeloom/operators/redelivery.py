@@ -85,17 +85,17 @@ def screen(rows: DataFrame, filters: DataFrame) -> DataFrame:
 
 def repeats(ids: DataFrame, identity: list[str], id_col: str, position: Column) -> DataFrame:
     """(keep_id, dup_id): every row that is not the smallest id of its message, with that smallest id."""
-    rows = addressed(ids.select(id_col, *dict.fromkeys([*identity])), identity, position)
+    rows = addressed(ids.select(id_col, *identity, position.alias("_position")), identity, F.col("_position"))
     rows = located(rows, segment_counts(rows)).select(id_col, *identity, "_bucket", "_segment", "_cells")
     # Read twice below; few rows pass the screen, so they are written once instead of being screened again.
     possible = common.checkpoint(screen(rows, build_filter(rows, at_least=2)).select(id_col, *identity))
     # Copies of one message are first reduced within salts, so that a message repeated without end fills no task.
     salted = possible.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    part = salted.groupBy(*identity, "_salt").agg(F.min(id_col).alias("k"), F.count(F.lit(1)).alias("n"))
+    part = salted.groupBy(*identity, "_salt").agg(F.min(id_col).alias("_k"), F.count(F.lit(1)).alias("_n"))
     whole = part.groupBy(*identity).agg(
-        F.min("k").alias("keep_id"), F.sum("n").alias("n"), F.collect_set("_salt").alias("_salts")
+        F.min("_k").alias("keep_id"), F.sum("_n").alias("_n"), F.collect_set("_salt").alias("_salts")
     )
-    keep = whole.where("n > 1").select(*identity, "keep_id", F.explode("_salts").alias("_salt"))
+    keep = whole.where("_n > 1").select(*identity, "keep_id", F.explode("_salts").alias("_salt"))
     a, b = salted.alias("a"), keep.alias("b")
     return (
         a.join(b, common.same([*identity, "_salt"]))
