@@ -22,6 +22,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _number(text: Column, kind: str) -> Column:
+    """A captured number; 0 for an empty capture, which is never cast, as a failing cast costs an exception."""
+    return F.coalesce(F.nullif(text, F.lit("")).try_cast(kind), F.lit(0).cast(kind))
+
+
 def _checked(text: Column, ok: Column, value: Column, kind: str, strict: bool) -> Column:
     bad = F.raise_error(F.concat(F.lit(f"not a value of type {kind}: "), text)) if strict else F.lit(None)
     return F.when(text.isNull(), None).when(ok, value).otherwise(bad)
@@ -90,7 +95,7 @@ def clock_micros(c: Column | str, strict: bool = False) -> Column:
 
 def _clock(s: Column) -> Column:
     part = lambda i: F.regexp_extract(s, _CLOCK, i)
-    num = lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))
+    num = lambda x: _number(x, "bigint")
     micros = num(F.rpad(F.substring(part(5), 1, 6), 6, "0"))
     total = ((num(part(2)) * 60 + num(part(3))) * 60 + num(part(4))) * 1_000_000 + micros
     return F.when(part(1) == "-", -total).otherwise(total)
@@ -100,7 +105,7 @@ def timetz(c: Column | str, strict: bool = False) -> Column:
     """struct(micros, offset_seconds); the offset has the printed sign."""
     s = _c(c)
     form = rf"^({_CLOCK})([+-])(\d{{2}})(?::?(\d{{2}}))?(?::?(\d{{2}}))?$"
-    part = lambda i: F.coalesce(F.regexp_extract(s, form, i).try_cast("int"), F.lit(0))
+    part = lambda i: _number(F.regexp_extract(s, form, i), "int")
     off = part(8) * 3600 + part(9) * 60 + part(10)
     offset = F.when(F.regexp_extract(s, form, 7) == "-", -off).otherwise(off)
     value = F.struct(_clock(F.regexp_extract(s, form, 1)).alias("micros"), offset.cast("int").alias("offset_seconds"))
@@ -110,22 +115,27 @@ def timetz(c: Column | str, strict: bool = False) -> Column:
 def interval(c: Column | str, strict: bool = False) -> Column:
     """struct(months, days, micros) of the verbose and the default output form, with ``@`` and ``ago``."""
     s = _c(c)
-    body = F.trim(F.regexp_replace(F.regexp_replace(s, r"^@\s*", ""), r"\s+ago$", ""))
-
-    def unit(names: str) -> Column:
-        return F.coalesce(F.regexp_extract(body, rf"([+-]?\d+) (?:{names})\b", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    form = rf"^(?:[+-]?\d+(?:\.\d+)? [a-z]+\s*)*(?:{_CLOCK})?$"
 
-    secs = F.coalesce(F.regexp_extract(body, r"([+-]?\d+(?:\.\d+)?) secs?\b", 1).try_cast("decimal(28,6)"), F.lit(0).cast("decimal(28,6)"))
-    months = unit("years?") * 12 + unit("mons?|months?")
-    days = unit("weeks?") * 7 + unit("days?")
-    clock = F.when(body.rlike(r"\d:\d"), _clock(body)).otherwise(F.lit(0).cast("bigint"))
-    micros = clock + (unit("hours?") * 3600 + unit("mins?|minutes?") * 60) * 1_000_000 + (secs * 1_000_000).cast("bigint")
+    def parts(body: Column, sign: Column) -> Column:
+        def unit(names: str) -> Column:
+            return _number(F.regexp_extract(body, rf"([+-]?\d+) (?:{names})\b", 1), "bigint")
+
+        secs = _number(F.regexp_extract(body, r"([+-]?\d+(?:\.\d+)?) secs?\b", 1), "decimal(28,6)")
+        months = unit("years?") * 12 + unit("mons?|months?")
+        days = unit("weeks?") * 7 + unit("days?")
+        clock = F.when(body.rlike(r"\d:\d"), _clock(body)).otherwise(F.lit(0).cast("bigint"))
+        micros = clock + (unit("hours?") * 3600 + unit("mins?|minutes?") * 60) * 1_000_000 + (secs * 1_000_000).cast("bigint")
+        value = F.struct(
+            (months * sign).cast("int").alias("months"), (days * sign).cast("int").alias("days"), (micros * sign).cast("bigint").alias("micros")
+        )
+        return F.when((body != "") & body.rlike(form), value)
+
+    # The stripped text is bound once by a lambda; written out it would be evaluated in every part.
+    body = F.trim(F.regexp_replace(F.regexp_replace(s, r"^@\s*", ""), r"\s+ago$", ""))
     sign = F.when(s.rlike(r"\sago$"), -1).otherwise(1)
-    form = rf"^(?:[+-]?\d+(?:\.\d+)? [a-z]+\s*)*(?:{_CLOCK})?$"
-    value = F.struct(
-        (months * sign).cast("int").alias("months"), (days * sign).cast("int").alias("days"), (micros * sign).cast("bigint").alias("micros")
-    )
-    return _checked(s, (body != "") & body.rlike(form), value, "interval", strict)
+    value = F.get(F.transform(F.array(F.struct(body.alias("b"), sign.alias("s"))), lambda x: parts(x["b"], x["s"])), F.lit(0))
+    return _checked(s, value.isNotNull(), value, "interval", strict)
 
 
 def _unquoted(b: Column) -> Column:

@@ -138,6 +138,7 @@ def current_fields(log: DataFrame, manifest: DataFrame) -> DataFrame:
     changes = positioned(log, manifest, "unchanged_toast").selectExpr(
         *KEY, "old_key", "op", "lsn", "pos", "from_json(row_data, 'map<string,string>') AS row_fields", "coalesce(m_unchanged_toast, array()) AS unset"
     )
+    changes = common.checkpoint(changes)  # read several times below; parsed once
     events = spark.sql(
         _EVENTS.format(
             table=", ".join(f"c.{c}" for c in TABLE), changes="{changes}",

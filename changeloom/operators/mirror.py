@@ -67,9 +67,12 @@ def after(log: DataFrame, boundary: tuple[str, str] | None) -> DataFrame:
 
 def after_latest_truncate(log: DataFrame) -> DataFrame:
     """The same in one plan without a driver round trip: the boundary is a scalar subquery."""
-    top = F.max(F.when(F.col("op") == "t", F.concat(*POSITION)))
-    boundary = F.coalesce(log.agg(top.alias("p")).scalar(), F.lit(""))
-    return log.where((F.concat(*POSITION) > boundary) & (F.col("op") != "t"))
+    return log.where((F.concat(*POSITION) > _last_truncate(log)) & (F.col("op") != "t"))
+
+
+def _last_truncate(log: DataFrame) -> Column:
+    """Position of the last truncate as a scalar subquery, empty text if there is none; equal uses are computed once."""
+    return F.coalesce(log.where("op = 't'").agg(F.max(F.concat(*POSITION)).alias("p")).scalar(), F.lit(""))
 
 
 def carry_forward(log: DataFrame, keys: list[str], columns: list[str], unchanged: str = "unchanged") -> DataFrame:
@@ -103,7 +106,7 @@ def apply(
     """
     cut = after_latest_truncate(log) if unchanged is None else carry_forward(after_latest_truncate(log), keys, columns, unchanged)
     won = winners(cut, keys)
-    had_truncate = F.coalesce(log.agg(F.max(F.when(F.col("op") == "t", F.concat(*POSITION))).alias("p")).scalar(), F.lit(""))
+    had_truncate = _last_truncate(log)
     base = mirror if "_deleted" in mirror.columns else mirror.withColumn("_deleted", F.lit(False))
     base = base.where(F.concat(*GUARD) > had_truncate)
     a, b = base.alias("a"), won.alias("b")
@@ -140,7 +143,7 @@ def rebuild(log: DataFrame, baseline: DataFrame, keys: list[str], columns: list[
     base = baseline.select(
         *keys, *columns, F.lit("i").alias("op"), F.col("_commit_lsn").alias("commit_lsn"), F.col("_lsn").alias("lsn"), F.lit(0).alias("_logged")
     )
-    cut = F.coalesce(log.agg(F.max(F.when(F.col("op") == "t", F.concat(*POSITION))).alias("p")).scalar(), F.lit(""))
+    cut = _last_truncate(log)
     both = log.where("op <> 't'").select(*keys, *columns, "op", *POSITION, F.lit(1).alias("_logged")).unionByName(base)
     both = both.where(F.concat(*POSITION) > cut)
     best = F.max_by(F.struct("op", *columns, *POSITION), F.struct(*POSITION, "_logged")).alias("w")
