@@ -2,8 +2,8 @@
 
 Phase A claims queued files, appends them to the raw log and advances the raw watermark; phase B applies what was appended
 since the mirror's version and advances the transformed watermark. Files of one schema version are appended together into a folder
-that is named by the smallest file in it, so a repeat after a crash overwrites the same folder. The mirror's pointer names the last
-folder it holds: increments go by what was appended, not by position, so chunks that were stamped early are never missed.
+that is named by the smallest file in it, so a repeat after a crash overwrites the same folder. The mirror's pointer names the
+folders it holds: increments go by what was appended, not by position, so chunks that were stamped early are never missed.
 
 Order of effects: data first, then the control store in one transaction. A crash in between repeats the step, which changes nothing.
 """
@@ -114,7 +114,8 @@ class TableLoader:
     def transform(self) -> str | None:
         """Applies what was appended since the mirror's version; returns the new transformed watermark."""
         cur = self.store.current() or {"seen": [], "schema": None}
-        new = [f for f in self.appended() if f[0] not in set(cur["seen"])]
+        present = self.appended()
+        new = [f for f in present if f[0] not in set(cur["seen"])]
         if not new:
             return None
         version = max([v for _, v in new] + ([cur["schema"]] if cur["schema"] is not None else []))
@@ -127,7 +128,7 @@ class TableLoader:
             elif cur["schema"] != version:
                 base = self._evolve(base, cur["schema"], version)
             out = mirror.apply(base, log, self.keys, data, unchanged="unchanged", tombstones=True)
-            self.store.write(out, {"seen": [*cur["seen"], *(n for n, _ in new)], "schema": version, "reload": cur.get("reload", 0)})
+            self.store.write(out, {"seen": [n for n, _ in present], "schema": version, "reload": cur.get("reload", 0)})
             top = log.agg(F.max("commit_lsn").alias("c")).first()["c"]
         finally:
             log.unpersist()
