@@ -88,9 +88,12 @@ def compact(log: DataFrame, target: str, target_rows: int = TARGET_ROWS) -> Data
     part_cols = [*GROUP, "schema_version"]
     # Partition folders rename nulls, so copies of the group columns name the folders and the columns stay in the files.
     named = merged.withColumns({f"by_{c}": F.col(c) for c in part_cols})
-    named.write.mode("overwrite").partitionBy(*[f"by_{c}" for c in part_cols]).parquet(staging)
+    # Tasks may commit straight into the staging folder: it counts for nothing until it is reconciled and renamed.
+    direct = named.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    direct.partitionBy(*[f"by_{c}" for c in part_cols]).parquet(staging)
     schema = T.StructType([*merged.schema.fields])
-    staged = spark.read.schema(schema).parquet(staging)
+    read = spark.read.schema(schema).option("recursiveFileLookup", "true")  # the folders' names repeat columns
+    staged = read.parquet(staging)
     reconcile(log, staged)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
@@ -101,7 +104,7 @@ def compact(log: DataFrame, target: str, target_rows: int = TARGET_ROWS) -> Data
     if not fs.rename(path(staging), path(target)):
         raise OSError(f"{staging} could not be renamed")
     fs.delete(path(old), True)
-    return spark.read.schema(schema).parquet(target)
+    return read.parquet(target)
 
 
 def reconcile(log: DataFrame, staged: DataFrame) -> None:
