@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import envelope, lsn, objects
-from changeloom.operators import common
+from changeloom.operators import common, drift
 
 TABLE = ["epoch", "source_schema", "source_table"]
 KEY = [*TABLE, "row_key"]
@@ -127,17 +127,43 @@ def _inherited(changes: DataFrame, events: DataFrame) -> DataFrame:
     return found.select(*KEY, "pos", "field", "value")
 
 
-def current_fields(log: DataFrame, manifest: DataFrame) -> DataFrame:
+def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
+    """``row_fields`` and ``unset`` under the names of the newest version, without fields that it lacks.
+
+    A field that no footer of its version has was never removed: it stays under its own name, trimmed and in lower case, unless
+    a field of that name lives on.
+    """
+    a, b = changes.alias("a"), common.broadcast_if_small(names.select(*TABLE, "schema_version", "living"), 50_000).alias("b")
+    joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.living")
+    plain = lambda k: F.lower(F.trim(k))
+    known = lambda k: F.coalesce(F.map_contains_key("living", plain(k)), F.lit(False))
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    fields = F.coalesce(F.map_entries("row_fields"), F.array().cast("array<struct<key:string,value:string>>"))
+    listed = F.transform(F.filter(fields, lambda e: known(e["key"])), lambda e: entry(F.try_element_at("living", plain(e["key"])), e["value"]))
+    others = F.transform(F.filter(fields, lambda e: ~known(e["key"])), lambda e: entry(plain(e["key"]), e["value"]))
+    unset = F.transform("unset", lambda k: F.when(known(k), F.try_element_at("living", plain(k))).otherwise(plain(k)))
+    named = joined.withColumn("entries", F.concat(F.filter(listed, lambda e: e["k"].isNotNull()), others))
+    return named.withColumns(
+        {"row_fields": F.when(F.col("row_fields").isNotNull(), drift._first_wins("entries")), "unset": F.array_distinct(F.array_compact(unset))}
+    ).drop("living", "entries")
+
+
+def current_fields(log: DataFrame, manifest: DataFrame, staged: DataFrame | None = None) -> DataFrame:
     """As ``current_rows``, with ``fields``: a map of the row's fields and values as text, each from its last writer.
 
     Source tables differ in columns, so fields are folded in long form: one aggregation per (key, field), which keeps
     states small, then one per key. A field named in unchanged_toast is not set by that change; after a key change it comes
-    from the row of the old key. Field names are those of the files; see ``drift`` for renames. Null values are kept.
+    from the row of the old key. With ``staged``, the footers of the files, fields are those of each source table's newest
+    version: renames are followed before folding and removed fields left out. Without, names are those of the files. Null
+    values are kept.
     """
     spark = log.sparkSession
-    changes = positioned(log, manifest, "unchanged_toast").selectExpr(
-        *KEY, "old_key", "op", "lsn", "pos", "from_json(row_data, 'map<string,string>') AS row_fields", "coalesce(m_unchanged_toast, array()) AS unset"
-    )
+    changes = positioned(log, manifest, "unchanged_toast", "schema_version").selectExpr(
+        *KEY, "m_schema_version AS schema_version", "old_key", "op", "lsn", "pos", "from_json(row_data, 'map<string,string>') AS row_fields",
+        "coalesce(m_unchanged_toast, array()) AS unset",
+    )
+    if staged is not None:
+        changes = _renamed(changes, drift.newest_names(log, manifest, staged))
     changes = common.checkpoint(changes)  # read several times below; parsed once
     events = spark.sql(
         _EVENTS.format(

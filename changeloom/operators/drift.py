@@ -30,6 +30,7 @@ from changeloom.operators import common
 TABLE = ["epoch", "source_schema", "source_table"]
 EPSILON, MAX_ROUNDS = 1e-4, 60
 _FIELDS = "array<struct<name:string,type:string,pos:int>>"
+_CHANGES = "epoch bigint, source_schema string, source_table string, schema_version bigint, drift string, field string, was string"
 
 
 def file_versions(log: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -172,27 +173,33 @@ def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def changes(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
     """(table, schema_version, drift, field, was): each change; ``was`` is the field's name before, null if added."""
     pairs = neighbours(schemas(file_versions(log, manifest), staged))
-    out = "epoch bigint, source_schema string, source_table string, schema_version bigint, drift string, field string, was string"
-    return pairs.mapInPandas(_compare_batches, out)
+    return pairs.mapInPandas(_compare_batches, _CHANGES)
 
 
 def final_names(found: DataFrame, versions: DataFrame) -> DataFrame:
-    """(table, schema_version, names): of each version, a map from its field names to the names of the newest one.
+    """(table, schema_version, names, living): of each version, maps from its field names to the names of the newest one.
 
-    Renames are composed along versions; fields that never change their name are left out. One group holds the versions
-    of one source table, a bounded number.
+    Renames are composed along versions. In ``names`` a field that was removed keeps the last name it had; in ``living`` it
+    has null, also if a later field took its name. One group holds the versions of one source table, a bounded number.
     """
-    renames = found.where("drift = 'renamed'").select(*TABLE, "schema_version", "was", "field")
-    steps = renames.groupBy(*TABLE, "schema_version").agg(F.map_from_entries(F.collect_list(F.struct("was", "field"))).alias("step"))
+    steps = found.where("drift in ('renamed', 'removed')").groupBy(*TABLE, "schema_version").agg(
+        F.map_from_entries(F.collect_list(F.struct("was", F.when(F.col("drift") == "renamed", F.col("field"))))).alias("step")
+    )
     known = versions.select(*TABLE, "schema_version", F.transform("fields", lambda x: x["name"]).alias("names"))
     later = Window.partitionBy(*TABLE).orderBy("schema_version").rowsBetween(1, Window.unboundedFollowing)
     all_steps = F.collect_list(F.coalesce("step", F.create_map().cast("map<string,string>"))).over(later)
     a, b = known.alias("a"), steps.alias("b")
     joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.step")
     final = lambda n: F.aggregate("steps", n, lambda acc, s: F.coalesce(F.try_element_at(s, acc), acc))
-    return joined.withColumn("steps", all_steps).select(
-        *TABLE, "schema_version", F.map_from_entries(F.transform("names", lambda n: F.struct(n.alias("k"), final(n).alias("v")))).alias("names")
-    )
+    living = lambda n: F.aggregate("steps", n, lambda acc, s: F.when(F.map_contains_key(s, acc), F.try_element_at(s, acc)).otherwise(acc))
+    by_name = lambda f: F.map_from_entries(F.transform("names", lambda n: F.struct(n.alias("k"), f(n).alias("v"))))
+    return joined.withColumn("steps", all_steps).select(*TABLE, "schema_version", by_name(final).alias("names"), by_name(living).alias("living"))
+
+
+def newest_names(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
+    """``final_names`` of the versions of every source table, which drift is sought in here."""
+    versions = common.checkpoint(schemas(file_versions(log, manifest), staged))
+    return final_names(neighbours(versions).mapInPandas(_compare_batches, _CHANGES), versions)
 
 
 def _first_wins(entries: str) -> Column:
@@ -207,11 +214,7 @@ def unified(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame
     ``fields`` is a map of text: tables differ in columns, and a value of every version fits text. ``typed`` casts one
     table's. Fields that were removed stay (they are null in later rows); fields not in any footer keep their own name.
     """
-    versions = common.checkpoint(schemas(file_versions(log, manifest), staged))
-    pairs = neighbours(versions).mapInPandas(
-        _compare_batches, "epoch bigint, source_schema string, source_table string, schema_version bigint, drift string, field string, was string"
-    )
-    names = common.broadcast_if_small(final_names(pairs, versions), 50_000)
+    names = common.broadcast_if_small(newest_names(log, manifest, staged), 50_000)
     rows = common.read_changes(log, "schema_version").select(
         "rid", *TABLE, F.col("m_schema_version").alias("schema_version"), "op", "row_key", F.from_json("row_data", "map<string,string>").alias("f")
     )

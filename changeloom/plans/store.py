@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = changefeed.current_fields(table(spark, d, "change_log"), table(spark, d, "file_manifest"))
+    rows = changefeed.current_fields(table(spark, d, "change_log"), table(spark, d, "file_manifest"), table(spark, d, "staged_columns"))
     return rows.select(*changefeed.KEY, "lsn", F.inline_outer(F.map_entries("fields"))).withColumnsRenamed({"key": "field", "value": "field_value"})
 
 

@@ -278,6 +278,30 @@ def test_key_changes_carry_unsent_fields(spark):
     assert got == {"c": {"id": "c", "big": "B", "n": "4"}}
 
 
+def versions(spark, *names):
+    """Log URIs, manifest and footers of one file per version, each with the given fields."""
+    uri = "s3://b/1/p/t/000000000000000{}-v.parquet"
+    staged = [(v, i, n, "text", i == 1) for v, fields in enumerate(names, start=1) for i, n in enumerate(fields, start=1) if n]
+    footers = spark.createDataFrame(staged, "file_id bigint, pos int, col_name string, col_type string, is_key boolean")
+    return uri.format, manifest(spark, [file(v, uri.format(v)) for v in range(1, len(names) + 1)]), footers
+
+
+def test_fields_follow_the_newest_version(spark):
+    at, files, staged = versions(spark, ["id", "note", "gone", None], ["id", " Remark", "gone", None], ["id", "remark", None, "note"])
+    put = lambda rid, key, pos, v, op="u", **kw: change(rid, key, pos, op, version=v, uri=at(v), **kw)
+    rows = [
+        put(1, "a", 1, 1, "i", data={"id": "a", "note": "N", "gone": "g"}), put(2, "a", 2, 2, data={"id": "a", "remark": None, "gone": "h"}, unset=["remark"]),
+        put(3, "b", 3, 1, "i", data={"id": "b", "note": "N", "gone": "g"}), put(4, "b", 4, 3, data={"id": "b", "remark": "R", "note": "new"}),
+        put(5, "c", 5, 1, "i", data={"id": "c", "note": "C", "gone": "g"}), put(6, "d", 6, 2, old="c", data={"id": "d", "remark": None, "gone": None}, unset=["remark"]),
+        put(7, "e", 7, 1, "i", data={"id": "e", "note": "E", "gone": "g", "extra": "x"}),
+    ]
+    got = {r.row_key: r.fields for r in changefeed.current_fields(log(spark, rows), files, staged).collect()}
+    assert got == {
+        "a": {"id": "a", "remark": "N"}, "b": {"id": "b", "remark": "R", "note": "new"}, "d": {"id": "d", "remark": "C"},
+        "e": {"id": "e", "remark": "E", "extra": "x"},
+    }
+
+
 def test_random_feeds_converge(spark):
     rnd = random.Random(3)
     rows, n = [], 0
