@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from changeloom.functions import objects, pgtypes
 from changeloom.operators import common
@@ -176,30 +177,47 @@ def changes(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame
     return pairs.mapInPandas(_compare_batches, _CHANGES)
 
 
+@F.pandas_udf(StringType())
+def _canonical(types: pd.Series) -> pd.Series:
+    return types.map(pgtypes.canonical, na_action="ignore")
+
+
 def final_names(found: DataFrame, versions: DataFrame) -> DataFrame:
-    """(table, schema_version, names, living): of each version, maps from its field names to the names of the newest one.
+    """(table, schema_version, names, living, types): of each version, maps from its field names to what they are in the newest one.
 
     Renames are composed along versions. In ``names`` a field that was removed keeps the last name it had; in ``living`` it
-    has null, also if a later field took its name. One group holds the versions of one source table, a bounded number.
+    has null, also if a later field took its name. ``types`` has the canonical type of the newest version that has the field.
+    One group holds the versions of one source table, a bounded number.
     """
     steps = found.where("drift in ('renamed', 'removed')").groupBy(*TABLE, "schema_version").agg(
         F.map_from_entries(F.collect_list(F.struct("was", F.when(F.col("drift") == "renamed", F.col("field"))))).alias("step")
     )
-    known = versions.select(*TABLE, "schema_version", F.transform("fields", lambda x: x["name"]).alias("names"))
-    later = Window.partitionBy(*TABLE).orderBy("schema_version").rowsBetween(1, Window.unboundedFollowing)
-    all_steps = F.collect_list(F.coalesce("step", F.create_map().cast("map<string,string>"))).over(later)
-    a, b = known.alias("a"), steps.alias("b")
+    by_version = Window.partitionBy(*TABLE).orderBy("schema_version")
+    a, b = versions.alias("a"), steps.alias("b")
     joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.step")
-    final = lambda n: F.aggregate("steps", n, lambda acc, s: F.coalesce(F.try_element_at(s, acc), acc))
-    living = lambda n: F.aggregate("steps", n, lambda acc, s: F.when(F.map_contains_key(s, acc), F.try_element_at(s, acc)).otherwise(acc))
-    by_name = lambda f: F.map_from_entries(F.transform("names", lambda n: F.struct(n.alias("k"), f(n).alias("v"))))
-    return joined.withColumn("steps", all_steps).select(*TABLE, "schema_version", by_name(final).alias("names"), by_name(living).alias("living"))
+    step = F.struct(F.coalesce("step", F.create_map().cast("map<string,string>")).alias("step"), F.lag("schema_version").over(by_version).alias("before"))
+    later = F.collect_list("one").over(by_version.rowsBetween(1, Window.unboundedFollowing))
+    fields = joined.withColumn("one", step).withColumn("steps", later).select(*TABLE, "schema_version", "steps", F.explode("fields").alias("f"))
+    # The name and, once removed, the last version; nothing that happens to the name later concerns the field.
+    start = F.struct(F.col("f.name").alias("name"), F.lit(None).cast("bigint").alias("until"))
+    to = lambda acc, s: F.try_element_at(s["step"], acc["name"])
+    moved = lambda acc, s: F.struct(F.coalesce(to(acc, s), acc["name"]).alias("name"), F.when(to(acc, s).isNull(), s["before"]).alias("until"))
+    stays = lambda acc, s: acc["until"].isNotNull() | ~F.map_contains_key(s["step"], acc["name"])
+    end = F.aggregate("steps", start, lambda acc, s: F.when(stays(acc, s), acc).otherwise(moved(acc, s)))
+    ends = fields.select(*TABLE, "schema_version", F.col("f.name").alias("k"), _canonical("f.type").alias("type"), end.alias("end"))
+    ends = ends.select("*", "end.name", "end.until").drop("end")
+    newest = F.max_by("type", "schema_version").over(Window.partitionBy(*TABLE, "name"))
+    ends = ends.withColumn("type", newest)
+    as_map = lambda v: F.map_from_entries(F.collect_list(F.struct("k", v)))
+    return ends.groupBy(*TABLE, "schema_version").agg(
+        as_map("name").alias("names"), as_map(F.when(F.col("until").isNull(), F.col("name"))).alias("living"), as_map("type").alias("types")
+    )
 
 
 def newest_names(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
     """``final_names`` of the versions of every source table, which drift is sought in here."""
     versions = common.checkpoint(schemas(file_versions(log, manifest), staged))
-    return final_names(neighbours(versions).mapInPandas(_compare_batches, _CHANGES), versions)
+    return common.checkpoint(final_names(neighbours(versions).mapInPandas(_compare_batches, _CHANGES), versions))
 
 
 def _first_wins(entries: str) -> Column:
@@ -208,25 +226,76 @@ def _first_wins(entries: str) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
 
 
-def unified(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
-    """(rid, table, schema_version, op, row_key, fields): every row of the log under the newest names of its source table.
-
-    ``fields`` is a map of text: tables differ in columns, and a value of every version fits text. ``typed`` casts one
-    table's. Fields that were removed stay (they are null in later rows); fields not in any footer keep their own name.
-    """
-    names = common.broadcast_if_small(newest_names(log, manifest, staged), 50_000)
+def _named(log: DataFrame, names: DataFrame) -> DataFrame:
+    """(rid, table, schema_version, op, row_key, entries): entries (k, v, t) are newest name, value as text, newest type."""
+    names = common.broadcast_if_small(names.drop("living"), 50_000)
     rows = common.read_changes(log, "schema_version").select(
         "rid", *TABLE, F.col("m_schema_version").alias("schema_version"), "op", "row_key", F.from_json("row_data", "map<string,string>").alias("f")
     )
     a, b = rows.alias("a"), names.alias("b")
-    joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.names")
+    joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.names", "b.types")
     key = lambda k: F.lower(F.trim(k))
-    entries = F.transform(F.map_entries("f"), lambda e: F.struct(F.coalesce(F.try_element_at("names", key(e["key"])), key(e["key"])).alias("k"), e["value"].alias("v")))
-    return joined.withColumn("entries", entries).select(
+    entry = lambda e: F.struct(
+        F.coalesce(F.try_element_at("names", key(e["key"])), key(e["key"])).alias("k"), e["value"].alias("v"), F.try_element_at("types", key(e["key"])).alias("t")
+    )
+    return joined.withColumn("entries", F.transform(F.map_entries("f"), entry)).drop("f", "names", "types")
+
+
+def unified(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
+    """(rid, table, schema_version, op, row_key, fields): every row of the log under the newest names of its source table.
+
+    ``fields`` is a map of text, values as they were written; ``unified_cast`` casts them, ``typed`` makes columns of one
+    table's. Fields that were removed stay (they are null in later rows); fields not in any footer keep their own name.
+    """
+    rows = _named(log, newest_names(log, manifest, staged))
+    return rows.withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))).select(
         "rid", *TABLE, "schema_version", "op", "row_key", _first_wins("entries").alias("fields")
     )
 
 
+def _cast(v: Column, t: Column, numerics: list[str]) -> Column:
+    """Text of the value that text ``v`` has in canonical type ``t``; null if it does not fit.
+
+    Zones are brought to UTC, which times without zone are meant in. Types that Spark lacks keep their text; uuid, jsonb, numeric
+    without precision, bytea and lengths of character types are checked.
+    """
+    zoned = v.rlike(r":.*([zZ]|[+-][0-9:]+)$")
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(v.try_cast("timestamp")), F.lit("1970-01-01").cast("timestamp_ntz"))
+    utc = F.when(zoned, instant).otherwise(v.try_cast("timestamp_ntz"))
+    out = F.when(t.isNull() | (t == "text"), v)
+    plain = [k for k in pgtypes.SPARK if k not in ("date", "timestamp", "timestamptz", "bytea")]
+    for k in [*plain, *numerics]:
+        out = out.when(t == k, v.try_cast(pgtypes.spark_type(k)).cast("string"))
+    out = out.when(t == "date", utc.cast("date").cast("string")).when(t == "timestamp", utc.cast("string"))
+    out = out.when(t == "timestamptz", F.concat(utc.cast("string"), F.lit("+00")))
+    out = out.when(t == "jsonb", F.when(F.try_parse_json(v).isNotNull(), v))
+    out = out.when(t == "uuid", F.when(v.rlike("^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower(v)))
+    out = out.when(t == "numeric", F.when(v.try_cast("double").isNotNull(), v)).when(t == "bytea", F.when(v.rlike(r"^\\x([0-9a-fA-F]{2})*$"), v))
+    length = F.regexp_extract(t, r"^(?:varchar|bpchar)\((\d+)\)$", 1)
+    return out.when(length == "", v).otherwise(F.when(F.length(F.rtrim(v)) <= length.try_cast("int"), v))
+
+
+def unified_cast(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
+    """As ``unified``, with every value cast to the newest type of its field, and ``misfits``.
+
+    Tables differ in columns, so ``fields`` is a map of text: that of the cast value, in one form per type. A value that does
+    not fit is null there and stands in the map ``misfits`` as it was written, so nothing is lost.
+    """
+    names = newest_names(log, manifest, staged)
+    # Distinct precisions and scales, of which there are few whatever the number of tables.
+    kinds = names.select(F.explode("types").alias("k", "t")).where("t like 'numeric(%'").distinct()
+    numerics = sorted({r.t for r in kinds.select("t").distinct().collect()})
+    rows = _named(log, names)
+    cast = F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("raw"), _cast(e["v"], e["t"], numerics).alias("v")))
+    rows = rows.withColumn("entries", cast)
+    fields = F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    misfits = F.filter("entries", lambda e: e["raw"].isNotNull() & e["v"].isNull())
+    misfits = F.transform(misfits, lambda e: F.struct(e["k"].alias("k"), e["raw"].alias("v")))
+    return rows.withColumns({"fields": fields, "misfits": misfits}).select(
+        "rid", *TABLE, "schema_version", "op", "row_key", _first_wins("fields").alias("fields"), _first_wins("misfits").alias("misfits")
+    )
+
+
 def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One source table's ``unified`` rows with real columns; ``columns`` maps names to canonical types.
 

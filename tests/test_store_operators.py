@@ -153,6 +153,27 @@ def test_unified_rows_take_the_newest_names(spark):
     assert typed[1] == (5, []) and typed[2] == (None, ["n"])
 
 
+def test_unified_query_casts_to_the_newest_types(spark, tmp_path):
+    from changeloom.plans import store
+
+    uri = "s3://b/1/p/t/000000000000000{}-v.parquet"
+    names = ["id", "flag", "n", "at", "price", "tag", "doc", "old"]
+    kinds = [["int4", "bool", "int4", "date", "numeric(10,2)", "text", "text", "date"], ["bigint", "int2", "text", "timestamptz", "decimal(6, 3)", "varchar(3)", "jsonb", None]]
+    old = {"id": 1, "flag": True, "n": 5, "at": "2024-07-18", "price": "12723.55", "tag": "long", "doc": "no json", "old": "2024-01-01"}
+    new = {"id": 2, "flag": 7, "n": "x", "at": "2024-12-01 04:18:19+02", "price": "1.5", "tag": None, "doc": '{"k":1}'}
+    rows = [change(i, str(i), i, uri=uri.format(i), version=i, data=d) for i, d in enumerate([old, new], start=1)] + [change(3, None, 3, "t", uri=uri.format(1))]
+    staged = [(v, i, n, k, i == 1) for v in (1, 2) for i, (n, k) in enumerate(zip(names, kinds[v - 1], strict=True), start=1) if k]
+    log(spark, rows).write.parquet(f"{tmp_path}/change_log.parquet")
+    manifest(spark, [file(v, uri.format(v)) for v in (1, 2)]).write.parquet(f"{tmp_path}/file_manifest.parquet")
+    spark.createDataFrame(staged, "file_id bigint, pos int, col_name string, col_type string, is_key boolean").write.parquet(f"{tmp_path}/staged_columns.parquet")
+    got = {r.rid: (r.fields, r.misfits) for r in store.p2_unified(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("at=2024-07-18 00:00:00+00|doc=NULL|flag=NULL|id=1|n=5|old=2024-01-01|price=NULL|tag=NULL", "doc=no json|flag=true|price=12723.55|tag=long"),
+        2: ('at=2024-12-01 02:18:19+00|doc={"k":1}|flag=7|id=2|n=x|price=1.500|tag=NULL', ""),
+        3: (None, None),
+    }
+
+
 # New or changed files only
 
 
