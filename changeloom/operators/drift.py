@@ -185,8 +185,9 @@ def _canonical(types: pd.Series) -> pd.Series:
 def final_names(found: DataFrame, versions: DataFrame) -> DataFrame:
     """(table, schema_version, names, living, types): of each version, maps from its field names to what they are in the newest one.
 
-    Renames are composed along versions. In ``names`` a field that was removed keeps the last name it had; in ``living`` it
-    has null, also if a later field took its name. ``types`` has the canonical type of the newest version that has the field.
+    Renames are composed along versions. In ``names`` a field that was removed keeps the last name it had; where that is the name
+    of another field of the same version too, it is ``name@v``, v being the last version that had it. In ``living`` it has null,
+    also if a later field took its name. ``types`` has the canonical type of the newest version that has the field.
     One group holds the versions of one source table, a bounded number.
     """
     steps = found.where("drift in ('renamed', 'removed')").groupBy(*TABLE, "schema_version").agg(
@@ -206,6 +207,10 @@ def final_names(found: DataFrame, versions: DataFrame) -> DataFrame:
     end = F.aggregate("steps", start, lambda acc, s: F.when(stays(acc, s), acc).otherwise(moved(acc, s)))
     ends = fields.select(*TABLE, "schema_version", F.col("f.name").alias("k"), _canonical("f.type").alias("type"), end.alias("end"))
     ends = ends.select("*", "end.name", "end.until").drop("end")
+    shared = F.count("*").over(Window.partitionBy(*TABLE, "schema_version", "name"))
+    clash = F.max("shared").over(Window.partitionBy(*TABLE, "name")) > 1
+    ends = ends.withColumn("shared", shared).withColumn("clash", clash)
+    ends = ends.withColumn("name", F.when(F.col("clash") & F.col("until").isNotNull(), F.concat_ws("@", "name", "until")).otherwise(F.col("name")))
     newest = F.max_by("type", "schema_version").over(Window.partitionBy(*TABLE, "name"))
     ends = ends.withColumn("type", newest)
     as_map = lambda v: F.map_from_entries(F.collect_list(F.struct("k", v)))
@@ -221,13 +226,17 @@ def newest_names(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> Data
 
 
 def _first_wins(entries: str) -> Column:
-    """Map of the entries (k, v) of an array column; of equal keys the first counts."""
+    """Map of the entries (k, v) of an array column; of equal keys, which are spellings of one name, the first counts."""
     keys = F.transform(entries, lambda e: e["k"])
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
 
 
 def _named(log: DataFrame, names: DataFrame) -> DataFrame:
-    """(rid, table, schema_version, op, row_key, entries): entries (k, v, t) are newest name, value as text, newest type."""
+    """(rid, table, schema_version, op, row_key, entries): entries (k, v, t) are newest name, value as text, newest type.
+
+    A field not in any footer of its version keeps its own name, or, where that is the newest name of another one of the version's fields,
+    takes ``name@v`` with its version v.
+    """
     names = common.broadcast_if_small(names.drop("living"), 50_000)
     rows = common.read_changes(log, "schema_version").select(
         "rid", *TABLE, F.col("m_schema_version").alias("schema_version"), "op", "row_key", F.from_json("row_data", "map<string,string>").alias("f")
@@ -235,8 +244,10 @@ def _named(log: DataFrame, names: DataFrame) -> DataFrame:
     a, b = rows.alias("a"), names.alias("b")
     joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.names", "b.types")
     key = lambda k: F.lower(F.trim(k))
+    taken = lambda k: F.coalesce(F.array_contains(F.map_values("names"), k), F.lit(False))
+    own = lambda k: F.when(taken(k), F.concat_ws("@", k, "schema_version")).otherwise(k)
     entry = lambda e: F.struct(
-        F.coalesce(F.try_element_at("names", key(e["key"])), key(e["key"])).alias("k"), e["value"].alias("v"), F.try_element_at("types", key(e["key"])).alias("t")
+        F.coalesce(F.try_element_at("names", key(e["key"])), own(key(e["key"]))).alias("k"), e["value"].alias("v"), F.try_element_at("types", key(e["key"])).alias("t")
     )
     return joined.withColumn("entries", F.transform(F.map_entries("f"), entry)).drop("f", "names", "types")
 
@@ -245,7 +256,8 @@ def unified(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame
     """(rid, table, schema_version, op, row_key, fields): every row of the log under the newest names of its source table.
 
     ``fields`` is a map of text, values as they were written; ``unified_cast`` casts them, ``typed`` makes columns of one
-    table's. Fields that were removed stay (they are null in later rows); fields not in any footer keep their own name.
+    table's. Fields that were removed stay (they are null in later rows), under a name with their last version where a field that
+    lives on has their name; fields not in any footer keep their own name.
     """
     rows = _named(log, newest_names(log, manifest, staged))
     return rows.withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))).select(

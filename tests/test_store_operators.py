@@ -153,6 +153,26 @@ def test_unified_rows_take_the_newest_names(spark):
     assert typed[1] == (5, []) and typed[2] == (None, ["n"])
 
 
+def versions(spark, *names):
+    """Log URIs, manifest and footers of one file per version, each with the given fields."""
+    uri = "s3://b/1/p/t/000000000000000{}-v.parquet"
+    staged = [(v, i, n, "text", i == 1) for v, fields in enumerate(names, start=1) for i, n in enumerate(fields, start=1) if n]
+    footers = spark.createDataFrame(staged, "file_id bigint, pos int, col_name string, col_type string, is_key boolean")
+    return uri.format, manifest(spark, [file(v, uri.format(v)) for v in range(1, len(names) + 1)]), footers
+
+
+def test_unified_keeps_removed_fields_whose_name_is_taken(spark):
+    at, files, staged = versions(spark, ["id", "a", None], ["id", "a", "b"], ["id", None, "b"], ["id", None, "a"])
+    data = [{"id": 1, "a": "gone1"}, {"id": 2, "a": "gone2", "b": "live2"}, {"id": 3, "b": "live3"}, {"id": 4, "a": "live4"}, {"id": 5, "a": "odd", "b": "live5"}]
+    rows = [change(i, str(i), i, uri=at(v), version=v, data=d) for i, (v, d) in enumerate(zip([1, 2, 3, 4, 3], data, strict=True), start=1)]
+    got = {r.rid: r.fields for r in drift.unified(log(spark, rows), files, staged).collect()}
+    assert got == {
+        1: {"id": "1", "a@2": "gone1"}, 2: {"id": "2", "a@2": "gone2", "a": "live2"}, 3: {"id": "3", "a": "live3"}, 4: {"id": "4", "a": "live4"},
+        5: {"id": "5", "a@3": "odd", "a": "live5"},
+    }
+    assert {r.rid: r.misfits for r in drift.unified_cast(log(spark, rows), files, staged).collect()} == dict.fromkeys(range(1, 6), {})
+
+
 def test_unified_query_casts_to_the_newest_types(spark, tmp_path):
     from changeloom.plans import store
 
@@ -299,14 +319,6 @@ def test_key_changes_carry_unsent_fields(spark):
     assert got == {"c": {"id": "c", "big": "B", "n": "4"}}
 
 
-def versions(spark, *names):
-    """Log URIs, manifest and footers of one file per version, each with the given fields."""
-    uri = "s3://b/1/p/t/000000000000000{}-v.parquet"
-    staged = [(v, i, n, "text", i == 1) for v, fields in enumerate(names, start=1) for i, n in enumerate(fields, start=1) if n]
-    footers = spark.createDataFrame(staged, "file_id bigint, pos int, col_name string, col_type string, is_key boolean")
-    return uri.format, manifest(spark, [file(v, uri.format(v)) for v in range(1, len(names) + 1)]), footers
-
-
 def test_fields_follow_the_newest_version(spark):
     at, files, staged = versions(spark, ["id", "note", "gone", None], ["id", " Remark", "gone", None], ["id", "remark", None, "note"])
     put = lambda rid, key, pos, v, op="u", **kw: change(rid, key, pos, op, version=v, uri=at(v), **kw)
