@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -100,21 +101,35 @@ def stream_transactions(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("payload").cast("bigint").alias("event_id"), "xid", "sub_xid", "commit_lsn")
 
 
+#: A worker leases this share of the due files at once, and this many at least.
+ROUNDS, LEAST = 8, 40
+
+
+def _work_off(book: ledger.WorkLedger, items: DataFrame) -> DataFrame:
+    """Enqueues ``items`` and lets workers lease and complete them until none is pending; the state then."""
+    at = lambda minute: f"{datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)}"
+    book.enqueue(items, "0")
+    share = max(LEAST, -(-book.state(at(0)).count() // ROUNDS))
+    book.complete("a", "1", book.lease("a", "1", at(0), 60, share))
+    lost = book.lease("b", "1", at(1), 60, share)  # dies
+    minute, leased = 10, book.lease("c", "1", at(10), 60, share)
+    while not leased.isEmpty():
+        book.complete("c", str(minute - 9), leased)
+        if minute == 10:
+            book.complete("b", "1", lost)  # comes back too late: its tokens are stale
+        minute += 1
+        leased = book.lease("c", str(minute - 9), at(minute), 60, share)
+    return book.state(at(minute))
+
+
 @query
 def ledger_run(spark: SparkSession, d: str) -> DataFrame:
-    """Files through the stored ledger: one worker completes, one dies, its lease expires and another takes over."""
+    """All due files through the stored ledger: one worker completes, one dies, its lease expires, another takes over and goes on to the end."""
     book = ledger.WorkLedger(spark, common.shared_dir(spark, "ledger"))
     from changeloom.sources.tables import table
 
     items = ledger.due_files(table(spark, d, "file_manifest"), table(spark, d, "loader_checkpoint"))
-    book.enqueue(items.select(F.lpad(F.col("file_id").cast("string"), 12, "0").alias("item")), "0")
-    a = book.lease("a", "1", "2026-01-01 00:00:00", 60, 40)
-    book.complete("a", "1", a)
-    b = book.lease("b", "1", "2026-01-01 00:01:00", 60, 30)  # dies
-    c = book.lease("c", "1", "2026-01-01 00:10:00", 60, 50)
-    book.complete("c", "1", c)
-    book.complete("b", "1", b)  # comes back too late: its tokens are stale
-    state = book.state("2026-01-01 00:10:30")
+    state = _work_off(book, items.select(F.lpad(F.col("file_id").cast("string"), 12, "0").alias("item")))
     return state.select(F.col("item").cast("bigint").alias("file_id"), "state", "token", "worker")
 
 

@@ -244,6 +244,18 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert {r.state for r in book.state(at(59)).collect()} == {"done"}
 
 
+@pytest.mark.parametrize("n", [5, 130, 500])
+def test_ledger_works_off_all_items(spark, tmp_path, n):
+    from changeloom.plans import live
+
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/book")
+    items = spark.range(n).select(F.format_string("%06d", F.col("id")).alias("item"))
+    got = {r.item: (r.state, r.token, r.worker) for r in live._work_off(book, items).collect()}
+    share = max(40, -(-n // 8))
+    want = lambda i: ("done", 1, "a") if i < share else ("done", 2, "c") if i < 2 * share else ("done", 1, "c")
+    assert got == {f"{i:06}": want(i) for i in range(n)}
+
+
 # A few keys holding most records
 
 
