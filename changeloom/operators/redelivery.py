@@ -124,14 +124,20 @@ def once(log: DataFrame) -> DataFrame:
 class SeenStore:
     """Identifiers seen so far, for batches that arrive one after another.
 
-    Each batch number owns one folder, overwritten by a retry, so a batch applied twice is stored once. Identifiers are
+    Each batch number owns one folder, overwritten by a retry, so a batch applied twice is stored once. A new store on the same
+    root knows the batches whose identifiers and filters were stored to the end. Identifiers are
     partitioned by time bucket; beside them lie the batch's filter segments. ``fresh`` screens a batch against the
     filters of the buckets it touches and reads the stored identifiers of matching buckets only.
     """
 
     def __init__(self, spark: SparkSession, root: str, identity: list[str], segments: int = 1):
         self.spark, self.root, self.identity, self.segments = spark, root.rstrip("/"), identity, segments
-        self.batches: list[int] = []
+        self.batches = sorted(self._finished("ids") & self._finished("filters"))
+
+    def _finished(self, what: str) -> set[int]:
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{what}/batch=*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return {int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found}
 
     def _rows(self, ids: DataFrame, position: Column) -> DataFrame:
         rows = addressed(ids, self.identity, position)

@@ -102,6 +102,20 @@ def test_batches_against_a_store(spark, tmp_path):
         seen |= {*ks}
 
 
+def test_a_restarted_store_knows_its_batches(spark, tmp_path):
+    root = f"file://{tmp_path}/seen"
+    batch = lambda ks: spark.createDataFrame([(i, k, f"{k:016X}") for i, k in enumerate(ks)], "rid bigint, k bigint, lsn string")
+    fresh = lambda store, ks, n: store.fresh(batch(ks), "rid", F.col("lsn"), n)
+    first = redelivery.SeenStore(spark, root, ["k"])
+    assert first.batches == []
+    for n, ks in enumerate([[1, 2], [3], [4]]):
+        first.remember(fresh(first, ks, n), n)
+    (tmp_path / "seen" / "filters" / "batch=2" / "_SUCCESS").unlink()  # stopped before the last batch was stored whole
+    second = redelivery.SeenStore(spark, root, ["k"])
+    assert second.batches == [0, 1]
+    assert sorted(r.k for r in fresh(second, [1, 3, 4, 5], 2).collect()) == [4, 5]
+
+
 # Schemas that drift
 
 
