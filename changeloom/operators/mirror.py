@@ -21,6 +21,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GUARD = ["_commit_lsn", "_lsn"]
 POSITION = ["commit_lsn", "lsn"]
@@ -75,13 +76,15 @@ def _last_truncate(log: DataFrame) -> Column:
     return F.coalesce(log.where("op = 't'").agg(F.max(F.concat(*POSITION)).alias("p")).scalar(), F.lit(""))
 
 
-def carry_forward(log: DataFrame, keys: list[str], columns: list[str], unchanged: str = "unchanged") -> DataFrame:
+def carry_forward(log: DataFrame, keys: list[str], columns: list[str], unchanged: str = "unchanged", then: tuple[str, ...] = ()) -> DataFrame:
     """Resolves placeholders: a column named in ``unchanged`` takes the value of the latest earlier change that sent it.
 
+    ``then`` names columns that order changes of one position.
+
     Values are wrapped, so a real null is found as such and never passed over. A column nobody sent yet is null and stays
     named in ``unchanged``, for ``apply`` to take from the mirror. One sort per key serves all columns.
     """
-    w = Window.partitionBy(*keys).orderBy(*POSITION).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys).orderBy(*POSITION, *then).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = lambda c: F.coalesce(F.array_contains(unchanged, c), F.lit(False))
     found = {f"_f_{c}": F.last(F.when(~listed(c), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(w) for c in columns}
     out = log.where("op <> 't'").withColumns(found)
@@ -135,21 +138,41 @@ def apply(
     return out if tombstones else out.where("not _deleted").drop("_deleted")
 
 
-def rebuild(log: DataFrame, baseline: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def rebuild(
+    log: DataFrame, baseline: DataFrame, keys: list[str], columns: list[str], unchanged: str | None = None, tombstones: bool = False
+) -> DataFrame:
     """The mirror from the whole retained log and what the mirror had: baseline rows rank at their own positions.
 
-    Where a logged change and a baseline row tie, they are the same change; the logged one is taken.
+    Where a logged change and a baseline row tie, they are the same change; the logged one is taken. With ``unchanged`` values that
+    a logged change did not send come from the latest earlier setter, logged or baseline, so pruning the setter loses nothing. A
+    baseline's tombstones rank as deletes; with ``tombstones`` deleted keys stay in the result.
     """
-    base = baseline.select(
-        *keys, *columns, F.lit("i").alias("op"), F.col("_commit_lsn").alias("commit_lsn"), F.col("_lsn").alias("lsn"), F.lit(0).alias("_logged")
-    )
+    gone = F.when(F.col("_deleted"), "d").otherwise("i") if "_deleted" in baseline.columns else F.lit("i")
+    base = baseline.select(*keys, *columns, gone.alias("op"), F.col("_commit_lsn").alias("commit_lsn"), F.col("_lsn").alias("lsn"), F.lit(0).alias("_logged"))
     cut = _last_truncate(log)
-    both = log.where("op <> 't'").select(*keys, *columns, "op", *POSITION, F.lit(1).alias("_logged")).unionByName(base)
+    rest = [] if unchanged is None else [unchanged]
+    both = log.where("op <> 't'").select(*keys, *columns, "op", *POSITION, *rest, F.lit(1).alias("_logged")).unionByName(base, allowMissingColumns=True)
     both = both.where(F.concat(*POSITION) > cut)
+    if unchanged is not None:
+        both = carry_forward(both, keys, columns, unchanged, ("_logged",))
     best = F.max_by(F.struct("op", *columns, *POSITION), F.struct(*POSITION, "_logged")).alias("w")
-    return both.groupBy(*keys).agg(best).where("w.op <> 'd'").select(
-        *keys, *[f"w.{c}" for c in columns], F.col("w.commit_lsn").alias("_commit_lsn"), F.col("w.lsn").alias("_lsn")
+    out = both.groupBy(*keys).agg(best).select(
+        *keys, *[f"w.{c}" for c in columns], F.col("w.commit_lsn").alias("_commit_lsn"), F.col("w.lsn").alias("_lsn"), (F.col("w.op") == "d").alias("_deleted")
     )
+    return out if tombstones else out.where("not _deleted").drop("_deleted")
+
+
+def key_changes(log: DataFrame, keys: list[str], old_keys: list[str]) -> DataFrame:
+    """The log with a delete of the old key for every update that changed it, at the update's own position.
+
+    ``old_keys`` are columns with the key before, null where it did not change; they are dropped. A key changed back to itself is a plain update.
+    """
+    moved = F.lit(False)
+    for k, o in zip(keys, old_keys, strict=True):
+        moved = moved | (F.col(o).isNotNull() & ~F.col(o).eqNullSafe(F.col(k)))
+    left = log.where((F.col("op") == "u") & moved)
+    gone = left.withColumns({k: F.coalesce(o, k) for k, o in zip(keys, old_keys, strict=True)} | {"op": F.lit("d")})
+    return log.unionByName(gone).drop(*old_keys)
 
 
 def prune(log: DataFrame, floor: str) -> DataFrame:
@@ -171,45 +194,99 @@ def keyset_page(df: DataFrame, keys: list[str], cursor: tuple | None, limit: int
 
 
 class MirrorStore:
-    """Versions of a mirror on disk: each is a folder of Parquet files clustered by a hash of the key.
+    """Versions of a mirror on disk, clustered by a hash of the key into buckets, each a folder of Parquet files.
 
-    A new version is written beside the old one and becomes current by one rename of a small pointer file, so readers see
-    one whole version and a failed write leaves the old one current.
+    A pointer file names the folder of every bucket. An application reads and writes only the buckets that its changes touch (all of them after a
+    truncate) and leaves the others as they are. Pointers are numbered, written aside and renamed to a name that does not exist yet; the
+    highest number counts. There is no moment without a pointer, and a failed write leaves the old version current. Buckets double
+    when they hold more than ``bucket_rows`` rows on average, so a bucket's size does not grow with the table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 8):
-        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
-        jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 8, bucket_rows: int = 2_000_000):
+        self.spark, self.root, self.keys, self.buckets, self.bucket_rows = spark, root.rstrip("/"), keys, buckets, bucket_rows
+        self._path, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
+    def _pointers(self) -> list[str]:
+        root = self._path(self.root)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(n for n in names if n.startswith("current-"))
+
     def current(self) -> dict | None:
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0])
+        names = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).first()[0]) if names else None
+
+    def _load(self, cur: dict, buckets: list[int] | None = None) -> DataFrame:
+        wanted = [cur["files"][str(b)] for b in (range(cur["buckets"]) if buckets is None else buckets) if str(b) in cur["files"]]
+        schema = T.StructType.fromJson(cur["columns"])
+        return self.spark.read.schema(schema).parquet(*wanted) if wanted else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame | None:
         cur = self.current()
-        return None if cur is None else self.spark.read.parquet(f"{self.root}/{cur['version']}")
-
-    def write(self, mirror: DataFrame, note: dict | None = None) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        mirror.repartition(self.buckets, *self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.root}/{version}")
-        pointer = json.dumps({"version": version} | (note or {}))
-        tmp, final = self._path(f"{self.root}/CURRENT.next"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(tmp, True)
-        out.write(pointer.encode())
+        return None if cur is None else self._load(cur)
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+
+    def _store(self, rows: DataFrame, n: int, version: str) -> dict[str, str]:
+        """Writes ``rows`` by bucket; the folder of each bucket that has any."""
+        folder = f"{self.root}/v-{version}"
+        placed = rows.withColumn("_b", self._bucket(n)).repartition(n, "_b").sortWithinPartitions("_b", *self.keys)
+        placed.write.partitionBy("_b").parquet(folder)
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+        return {x.removeprefix("_b="): f"{folder}/{x}" for x in names if x.startswith("_b=")}
+
+    def _point(self, pointer: dict) -> str:
+        number = int(names[-1].removeprefix("current-")) + 1 if (names := self._pointers()) else 1
+        tmp, final = self._path(f"{self.root}/next-{uuid.uuid4().hex}"), self._path(f"{self.root}/current-{number:012d}")
+        out = self._fs.create(tmp, False)
+        out.write(json.dumps(pointer).encode())
         out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(tmp, final):
-            raise OSError(f"{tmp} could not be renamed")
-        return version
+        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+            raise OSError(f"{final} could not be made")
+        return pointer["version"]
+
+    def _publish(self, version: str, n: int, files: dict[str, str], columns: T.StructType, note: dict | None) -> str:
+        kept = {"truncated": (self.current() or {}).get("truncated", "")} | (note or {})
+        pointer = {"version": version, "buckets": n, "files": files, "columns": columns.jsonValue()} | kept
+        pointer["rows"] = self._load(pointer).count()  # of footers alone
+        return self._point(pointer)
+
+    def write(self, mirror: DataFrame, note: dict | None = None, buckets: int | None = None) -> str:
+        """A whole new mirror."""
+        version, n = uuid.uuid4().hex, buckets or (self.current() or {}).get("buckets", self.buckets)
+        return self._publish(version, n, self._store(mirror, n, version), mirror.schema, note)
+
+    def apply(self, log: DataFrame, columns: list[str], unchanged: str | None = None, note: dict | None = None) -> str:
+        """The changes of ``log`` applied with tombstones; buckets that none of them is in are not read.
+
+        The pointer keeps the position of the last truncate, so what it wiped does not come back with a later batch either.
+        """
+        cur = self.current() or {"truncated": ""}
+        log = log.where(F.concat(*POSITION) > cur["truncated"])
+        n = cur.get("buckets", self.buckets)
+        truncate = F.max(F.when(F.col("op") == "t", F.concat(*POSITION))).alias("t")
+        seen = log.agg(F.collect_set(F.when(F.col("op") != "t", self._bucket(n))).alias("b"), truncate).first()  # at most as many numbers as buckets
+        note = (note or {}) | {"truncated": seen["t"] or cur["truncated"]}
+        if "files" not in cur:
+            return self.write(apply(empty_mirror(log, self.keys, columns), log, self.keys, columns, unchanged, tombstones=True), note)
+        if cur["rows"] > self.bucket_rows * n:
+            while cur["rows"] > self.bucket_rows * n:
+                n *= 2
+            return self.write(apply(self._load(cur), log, self.keys, columns, unchanged, tombstones=True), note, n)
+        touched = list(range(n)) if seen["t"] else sorted(seen["b"])
+        version = uuid.uuid4().hex
+        out = apply(self._load(cur, touched), log, self.keys, columns, unchanged, tombstones=True)
+        files = {b: f for b, f in cur["files"].items() if int(b) not in touched} | self._store(out, n, version)
+        return self._publish(version, n, files, out.schema, note)
 
     def vacuum(self) -> None:
-        """Deletes versions that are not current."""
+        """Deletes folders that the current version does not name, and older pointers."""
         cur = self.current()
+        kept = {f.rsplit("/", 2)[-2] for f in cur["files"].values()}
+        for name in self._pointers()[:-1]:
+            self._fs.delete(self._path(f"{self.root}/{name}"), False)
         for s in self._fs.listStatus(self._path(self.root)):
             name = s.getPath().getName()
-            if name.startswith("v-") and name != cur["version"]:
+            if name.startswith("next-") or name.startswith("v-") and name not in kept:
                 self._fs.delete(s.getPath(), True)

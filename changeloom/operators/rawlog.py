@@ -76,14 +76,39 @@ def largest_inflight(changes: DataFrame, by: list[str], columns: list[str]) -> D
     return inflight(changes, by, columns).orderBy(F.desc("bytes"), *by).limit(1)
 
 
+#: A source table: positions and reloads of other epochs or schemas have nothing to do with it.
+TABLE = ["epoch", "source_schema", "source_table"]
+LIVE = ("requested", "exporting", "export_complete")
+
+
+def _same_table() -> Column:
+    same = F.lit(True)
+    for c in TABLE:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return same
+
+
 def claimable(files: DataFrame, reloads: DataFrame) -> DataFrame:
-    """Ready files that may be applied: not those of a table that is being reloaded, but for the reload's own."""
-    busy = reloads.where("mode = 'reload' AND state IN ('requested', 'exporting')").select("source_table").distinct()
+    """Ready files that may be applied: not those of a table whose reload has not finished its export, but for the reload's own."""
+    busy = reloads.where("mode = 'reload' AND state IN ('requested', 'exporting')").select(*TABLE).distinct()
     own = files.where("status = 'ready' AND kind = 'reload'")
-    return files.where("status = 'ready' AND kind <> 'reload'").join(busy, "source_table", "left_anti").unionByName(own)
+    waiting = files.where("status = 'ready' AND kind <> 'reload'").alias("a").join(busy.alias("b"), _same_table(), "left_anti")
+    return waiting.unionByName(own)
+
+
+def reload_floors(reloads: DataFrame) -> DataFrame:
+    """(table, floor): first position of the newest live reload of each source table that has one."""
+    live = reloads.where(F.col("state").isin(*LIVE) & (F.col("mode") == "reload") & F.col("first_lsn").isNotNull())
+    return live.groupBy(*TABLE).agg(F.max_by("first_lsn", "reload_id").alias("floor"))
 
 
 def superseded(files: DataFrame, floors: DataFrame) -> DataFrame:
-    """Files that a reload replaces: not its own, and ended at or before its floor. ``floors``: source_table, floor."""
-    j = files.join(floors, "source_table")
+    """Files that a reload of the same source table replaces: not its own, and ended at or before its floor."""
+    j = files.alias("a").join(floors.alias("b"), _same_table()).select("a.*", "b.floor")
     return j.where((F.col("kind") != "reload") & (F.col("lsn_end") <= F.col("floor"))).drop("floor")
+
+
+def claim_order(files: DataFrame) -> DataFrame:
+    """``files`` with their ``place`` in the queue of their source table: by last commit, then by registration."""
+    w = Window.partitionBy(*TABLE).orderBy("lsn_end", "file_id")
+    return files.withColumn("place", F.row_number().over(w))

@@ -60,12 +60,6 @@ def mirror_maxby(spark: SparkSession, d: str) -> DataFrame:
     return mirror.live(mirror.winners(log(spark, d), ["id"])).select(*SHOWN)
 
 
-@query
-def prefilter_counterfactual(spark: SparkSession, d: str) -> DataFrame:
-    """What filtering deletes before ranking would give: deleted keys come back. Kept to show the difference."""
-    return mirror.winners(log(spark, d).where("op <> 'd'"), ["id"]).select(*SHOWN)
-
-
 @query
 def composite_pk(spark: SparkSession, d: str) -> DataFrame:
     return mirror.live(mirror.winners(log(spark, d), ["id", "status"])).select(*SHOWN)
@@ -316,20 +310,39 @@ def object_identity(spark: SparkSession, d: str) -> DataFrame:
 # Queue and watermarks on the staged store
 
 
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "file_manifest").withColumn("lsn_end", lsn.normal("lsn_end"))
+
+
+def _reloads(files: DataFrame) -> DataFrame:
+    """Reloads that the manifest shows: those of epoch 1 still export, later ones have ended their export."""
+    r = files.where("kind = 'reload'").groupBy(*rawlog.TABLE, "reload_id").agg(F.min("lsn_end").alias("first_lsn"))
+    return r.withColumns({"mode": F.lit("reload"), "state": F.when(F.col("epoch") == 1, "exporting").otherwise("export_complete")})
+
+
 @query
 def claim_order(spark: SparkSession, d: str) -> DataFrame:
-    """Ready files of tables without a reload, and files of reloads, in claim order within their table."""
-    files = table(spark, d, "file_manifest").select("file_id", "epoch", "source_table", "kind", "status", lsn.normal("lsn_end").alias("lsn_end"))
-    reloads = files.where("kind = 'reload' and epoch = 1").select("source_table").distinct().withColumns({"mode": F.lit("reload"), "state": F.lit("exporting")})
-    w = Window.partitionBy("epoch", "source_table").orderBy("lsn_end", "file_id")
-    return rawlog.claimable(files, reloads).select("file_id", F.row_number().over(w).alias("place"))
+    """Ready files of tables that no reload holds up, and files of reloads, in claim order within their table."""
+    files = _manifest(spark, d)
+    return rawlog.claim_order(rawlog.claimable(files, _reloads(files))).select("file_id", "place")
+
+
+@query
+def claim_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the next cycle of each source table claims: the first 32 in claim order."""
+    files = _manifest(spark, d)
+    return rawlog.claim_order(rawlog.claimable(files, _reloads(files))).where("place <= 32").select("file_id", "epoch", "source_schema", "source_table")
 
 
 @query
 def superseded_files(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "file_manifest").select("file_id", "source_table", "kind", lsn.normal("lsn_end").alias("lsn_end"))
-    floors = files.where("kind = 'reload'").groupBy("source_table").agg(F.min("lsn_end").alias("floor"))
-    return rawlog.superseded(files, floors).select("file_id")
+    files = _manifest(spark, d)
+    return rawlog.superseded(files, rawlog.reload_floors(_reloads(files))).select("file_id")
+
+
+@query
+def reload_floor(spark: SparkSession, d: str) -> DataFrame:
+    return rawlog.reload_floors(_reloads(_manifest(spark, d)))
 
 
 @query

@@ -20,6 +20,10 @@ GUARDED = f"with {G} select id, status, amount, note, commit_lsn as _commit_lsn,
 TX = f"""{G}, c as (select *, event_id // 4 as xid, case when event_id % 2 = 0 then event_id // 4 else event_id // 4 * 10 + 1 end as sub_xid from g),
   per as (select xid, max(lsn) as commit_lsn, min(lsn) as first_lsn from c group by xid), commits as (select * from per where xid % 5 <> 0)"""
 FM = f"fm as (select * replace ({n16('lsn_end')} as lsn_end), {obj('s3_uri')} as object from file_manifest)"
+RELOADS = "reloads as (select epoch, source_schema, source_table, reload_id, min(lsn_end) as first_lsn, epoch = 1 as exporting from fm where kind = 'reload' group by all)"
+CLAIM = f"""{RELOADS}, claim as (select *, cast(row_number() over (partition by epoch, source_schema, source_table order by lsn_end, file_id) as int) as place from fm m
+  where status = 'ready' and (kind = 'reload' or not exists (select 1 from reloads r
+    where r.epoch = m.epoch and r.source_schema = m.source_schema and r.source_table = m.source_table and r.exporting)))"""
 RUNS = f"""runs as (select epoch, source_schema, source_table, max((updated_at, {n16('raw_appended_lsn')}, {n16('transformed_lsn')}))[3] as done
   from loader_checkpoint where outcome = 'committed' group by all)"""
 V1 = f"""{G}, v as (select event_id as id, status, cast(event_id % 1000 as int) as n,
@@ -29,7 +33,6 @@ CUSTOMERS = "select c_custkey as id, 'chunk' as status, cast(null as double) as
 ORACLE = {
     "latest_mirror": MIRROR,
     "mirror_maxby": MIRROR,
-    "prefilter_counterfactual": f"with {G}, f as (select * from g where op <> 'd') select {SHOW} from {top('f')}",
     "composite_pk": f"with {G} select {SHOW} from {top('g', 'id, status')} where op <> 'd'",
     "truncate_boundary": f"with {GT} select {SHOW} from {top('after')} where op <> 'd'",
     "truncate_same_commit": f"with {GT} select {SHOW}, op from after where commit_lsn = (select substr(p, 1, 16) from cut)",
@@ -75,11 +78,12 @@ ORACLE = {
         select event_id, lpad(hex(cast(n // 4294967296 as bigint)), 8, '0') || lpad(hex(cast(n % 4294967296 as bigint)), 8, '0') as lsn,
         hex(cast(n // 4294967296 as bigint)) || '/' || hex(cast(n % 4294967296 as bigint)) as short from n""",
     "object_identity": f"with {FM} select file_id, object, split_part(object, '/', 1) as bucket, upper(nullif(regexp_extract(object, '([0-9A-Fa-f]{{16}})-[^/]*$', 1), '')) as pos from fm",
-    "claim_order": f"""with {FM}, busy as (select distinct source_table from fm where kind = 'reload' and epoch = 1),
-        c as (select * from fm where status = 'ready' and (kind = 'reload' or source_table not in (select source_table from busy)))
-        select file_id, cast(row_number() over (partition by epoch, source_table order by lsn_end, file_id) as int) as place from c""",
-    "superseded_files": f"""with {FM}, f as (select source_table, min(lsn_end) as floor from fm where kind = 'reload' group by 1)
-        select file_id from fm join f using (source_table) where kind <> 'reload' and lsn_end <= floor""",
+    "claim_order": f"with {FM}, {CLAIM} select file_id, place from claim",
+    "claim_batch": f"with {FM}, {CLAIM} select file_id, epoch, source_schema, source_table from claim where place <= 32",
+    "superseded_files": f"""with {FM}, {RELOADS} select file_id from fm m where kind <> 'reload' and lsn_end <= (select first_lsn from reloads r where r.epoch = m.epoch
+        and r.source_schema = m.source_schema and r.source_table = m.source_table order by reload_id desc limit 1)""",
+    "reload_floor": f"""with {FM}, {RELOADS} select epoch, source_schema, source_table, first_lsn as floor from reloads
+        qualify row_number() over (partition by epoch, source_schema, source_table order by reload_id desc) = 1""",
     "table_lag": f"""with {FM}, {RUNS}, t as (select epoch, source_schema, source_table, max(lsn_end) as top from fm where status = 'ready' group by all)
         select epoch, source_schema, source_table, greatest(0, cast('0x' || top as bigint) - coalesce(cast('0x' || done as bigint), 0)) as lag from t left join runs using (epoch, source_schema, source_table)""",
     "reload_reached": f"""with {FM}, {RUNS}, r as (select epoch, source_schema, source_table, reload_id, max(lsn_end) as f from fm where kind = 'reload' group by all)

@@ -12,21 +12,20 @@ from pyspark.sql.streaming import StreamingQuery
 from changeloom.operators import mirror
 
 
-def apply_batch(store: mirror.MirrorStore, keys: list[str], columns: list[str], unchanged: str | None = None):
-    """The function for ``foreachBatch``."""
+def apply_batch(store: mirror.MirrorStore, keys: list[str], columns: list[str], unchanged: str | None = None, vacuum_every: int = 64):
+    """The function for ``foreachBatch``; every ``vacuum_every`` batches superseded folders are deleted."""
 
     def run(batch: DataFrame, number: int) -> None:
         current = store.current()
         if current is not None and current.get("batch", -1) >= number:
             return
-        base = store.read()
-        if base is None:
-            base = mirror.empty_mirror(batch, keys, columns)
         batch = batch.persist()  # a batch is bounded by maxFilesPerTrigger and read several times
         try:
-            store.write(mirror.apply(base, batch, keys, columns, unchanged, tombstones=True), {"batch": number})
+            store.apply(batch, columns, unchanged, {"batch": number})
         finally:
             batch.unpersist()
+        if number % vacuum_every == vacuum_every - 1:
+            store.vacuum()
 
     return run
 

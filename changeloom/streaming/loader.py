@@ -48,6 +48,7 @@ class TableLoader:
         files = files[: next((i for i, f in enumerate(files) if f.schema_version != files[0].schema_version), len(files))]
         if files[0].kind == "reload" and self._starts_reload(files[0]):
             self._wipe()
+            self._fs.mkdirs(self._path(f"{self.root}/reload-{files[0].reload_id}"))  # after the wipe: a crash in between wipes again
         files = [f for f in files if (f.kind == "reload") == (files[0].kind == "reload")]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._read(f) for f in files])
         folder = f"{self.root}/raw/{min(f.id for f in files):012d}-v{files[0].schema_version}"
@@ -69,11 +70,7 @@ class TableLoader:
         return mode is not None and mode[0] == "reload" and (cur or {}).get("reload", 0) < (f.reload_id or 0) and not self._reloaded(f.reload_id)
 
     def _reloaded(self, reload_id: int | None) -> bool:
-        mark = self._path(f"{self.root}/reload-{reload_id}")
-        if self._fs.exists(mark):
-            return True
-        self._fs.mkdirs(mark)
-        return False
+        return self._fs.exists(self._path(f"{self.root}/reload-{reload_id}"))
 
     def _wipe(self) -> None:
         for name in ("raw", "mirror"):
@@ -122,13 +119,12 @@ class TableLoader:
         data = [c.name for c in self.columns(version) if c.name not in self.keys]
         log = self.log(new, version).persist()  # the tail; read several times
         try:
-            base = self.store.read()
-            if base is None:
-                base = mirror.empty_mirror(log, self.keys, data)
-            elif cur["schema"] != version:
-                base = self._evolve(base, cur["schema"], version)
-            out = mirror.apply(base, log, self.keys, data, unchanged="unchanged", tombstones=True)
-            self.store.write(out, {"seen": [n for n, _ in present], "schema": version, "reload": cur.get("reload", 0)})
+            note = {"seen": [n for n, _ in present], "schema": version, "reload": cur.get("reload", 0)}
+            if cur["schema"] in (None, version):
+                self.store.apply(log, data, "unchanged", note)
+            else:
+                base = self._evolve(self.store.read(), cur["schema"], version)
+                self.store.write(mirror.apply(base, log, self.keys, data, unchanged="unchanged", tombstones=True), note)
             top = log.agg(F.max("commit_lsn").alias("c")).first()["c"]
         finally:
             log.unpersist()
@@ -156,12 +152,11 @@ class TableLoader:
         """The mirror anew from the retained log and, for what was pruned, its own rows."""
         cur = self.store.current()
         data = [c.name for c in self.columns(cur["schema"]) if c.name not in self.keys]
-        log = mirror.carry_forward(self.log(self.appended(), cur["schema"]), self.keys, data).unionByName(
-            self.log(self.appended(), cur["schema"]).where("op = 't'")
-        )
-        base = self.store.read().where("not _deleted")
-        out = mirror.rebuild(log, base, self.keys, data).withColumn("_deleted", F.lit(False))
-        self.store.write(out, {k: cur[k] for k in cur if k != "version"})
+        log = self.log(self.appended(), cur["schema"]) if self.appended() else None
+        base = self.store.read()
+        if log is not None:
+            out = mirror.rebuild(log, base, self.keys, data, "unchanged", tombstones=True)
+            self.store.write(out, {k: cur[k] for k in ("seen", "schema", "reload") if k in cur})
 
     def prune(self, lag: int = 16 << 20) -> int:
         """Drops appended folders whose changes all lie ``lag`` bytes behind the transformed watermark; returns how many."""

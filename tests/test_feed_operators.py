@@ -96,6 +96,66 @@ def test_mirror_versions(spark, tmp_path):
     assert [r.val for r in store.read().collect()] == ["b"]
 
 
+def test_rebuild_after_a_prune_keeps_unsent_values(spark):
+    late = log(spark, [(1, "u", 200, 1, "")]).withColumn("unchanged", F.array(F.lit("val")))
+    out = mirror.rebuild(late, base(spark, [(1, "Y", 100, 1), (2, "gone", 5, 5)]).withColumn("_deleted", F.col("id") == 2), ["id"], ["val"], "unchanged", tombstones=True)
+    assert {(r.id, r.val, r._lsn, r._deleted) for r in out.collect()} == {(1, "Y", f"{1:016X}", False), (2, "gone", f"{5:016X}", True)}
+    older = mirror.apply(out, log(spark, [(2, "u", 4, 4, "back")]), ["id"], ["val"], tombstones=True)
+    assert [r.id for r in mirror.user_view(older).collect()] == [1]
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    store = mirror.MirrorStore(spark, f"file://{tmp_path}/m", ["id"], buckets=4)
+    store.apply(log(spark, [(i, "i", 1, i, "a") for i in range(1, 40)]), ["val"])
+    before = store.current()["files"]
+    store.apply(log(spark, [(7, "u", 2, 50, "b")]), ["val"])
+    after = store.current()["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and mirror.user_view(store.read()).count() == 39
+    store.apply(log(spark, [(None, "t", 3, 60), (8, "i", 4, 61, "c")]), ["val"])
+    store.apply(log(spark, [(9, "u", 2, 55, "wiped")]), ["val"])  # from before the truncate, delivered after it
+    assert [(r.id, r.val) for r in mirror.user_view(store.read()).collect()] == [(8, "c")]
+    store.vacuum()
+    assert mirror.user_view(store.read()).count() == 1
+    small = mirror.MirrorStore(spark, f"file://{tmp_path}/s", ["id"], buckets=1, bucket_rows=10)
+    for k in range(2):
+        small.apply(log(spark, [(i, "i", 1, i, "a") for i in range(k * 30, k * 30 + 30)]), ["val"])
+    assert small.current()["buckets"] == 4 and small.read().count() == 60
+
+
+@pytest.mark.parametrize("step", ["_store", "_point", "_publish"])
+def test_a_crash_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
+    store = mirror.MirrorStore(spark, f"file://{tmp_path}/m", ["id"])
+    store.apply(log(spark, [(i, "i", 1, i, "a") for i in range(100)]), ["val"])
+    with monkeypatch.context() as m:
+        m.setattr(store, step, lambda *a, **k: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            store.apply(log(spark, [(i, "i", 2, i, "b") for i in range(200, 210)]), ["val"])
+    assert store.read().count() == 100
+    store.apply(log(spark, [(i, "i", 2, i, "b") for i in range(200, 210)]), ["val"])
+    assert mirror.MirrorStore(spark, f"file://{tmp_path}/m", ["id"]).read().count() == 110
+
+
+def test_key_changes_remove_the_old_key(spark):
+    rows = log(spark, [(1, "i", 1, 1, "a"), (2, "u", 2, 2, "b"), (2, "u", 3, 3, "c")])
+    rows = rows.withColumn("was", F.when(F.col("val") == "b", 1).when(F.col("val") == "c", 2))
+    out = mirror.apply(base(spark), mirror.key_changes(rows, ["id"], ["was"]), ["id"], ["val"])
+    assert [(r.id, r.val) for r in out.collect()] == [(2, "c")]
+
+
+def test_queue_of_two_epochs_and_schemas(spark):
+    files = spark.createDataFrame(
+        [(1, 1, "p", "t", "stream", "ready", at(5)), (2, 2, "p", "t", "stream", "ready", at(5)), (3, 1, "q", "t", "stream", "ready", at(5)), (4, 1, "p", "t", "reload", "ready", at(7)),
+         (5, 1, "p", "t", "stream", "ready", at(9)), (6, 1, "p", "t", "stream", "failed", at(1))],
+        "file_id bigint, epoch bigint, source_schema string, source_table string, kind string, status string, lsn_end string",
+    )
+    reloads = spark.createDataFrame(
+        [(1, 1, "p", "t", "reload", "complete", at(20)), (2, 1, "p", "t", "reload", "exporting", at(7)), (3, 1, "p", "t", "resync", "exporting", at(30))],
+        "reload_id bigint, epoch bigint, source_schema string, source_table string, mode string, state string, first_lsn string",
+    )
+    assert {r.file_id for r in rawlog.claimable(files, reloads).collect()} == {2, 3, 4}
+    assert {r.file_id for r in rawlog.superseded(files, rawlog.reload_floors(reloads)).collect()} == {1, 6}
+
+
 def test_keyset_pages_cover_the_table(spark):
     df = spark.createDataFrame([(a, b) for a in range(4) for b in range(3)], "a int, b int")
     cursor, seen = None, []

@@ -116,6 +116,34 @@ def test_reload_replaces_and_resync_adds(spark, tmp_path):
         assert b.control.reload_state(r)[0] == "complete"
 
 
+def test_a_crash_between_wipe_and_mark_wipes_again(spark, tmp_path, monkeypatch):
+    b = Bench(spark, tmp_path)
+    b.stage([("i", 1, 1, {"id": 99, "note": "phantom", "n": "0"})])
+    b.drain()
+    r = b.control.request_reload(b.epoch, "p", "t", "reload")
+    b.control.claim_reload(b.epoch)
+    b.stage([("i", 16, 16, {"id": 1, "note": "new", "n": "1"})], kind="reload", reload_id=r)
+    b.control.export_done(r, at(16))
+    with monkeypatch.context() as m:
+        m.setattr(b.loader, "_wipe", lambda: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            b.loader.append()
+    assert b.drain() == {1: ("new", "1")}
+
+
+def test_rebuild_keeps_tombstones_and_unsent_values(spark, tmp_path):
+    b = Bench(spark, tmp_path)
+    b.stage([("i", 1, 1, {"id": 1, "note": "kept", "n": "1"}), ("i", 1, 2, {"id": 2, "note": "b", "n": "2"}), ("d", 2, 3, {"id": 2})])
+    b.drain()
+    assert b.loader.prune(lag=0) == 0
+    b.stage([("u", 9, 9, {"id": 1, "note": None, "n": "5"}, ["note"])])
+    b.drain()
+    assert b.loader.prune(lag=0) == 1
+    b.loader.rebuild()
+    b.stage([("u", 1, 2, {"id": 2, "note": "late", "n": "0"})])
+    assert b.drain() == {1: ("kept", "5")}
+
+
 def test_source_contract(spark):
     assert contract.on_slot(False) is contract.Action.RETRY and contract.on_slot(True) is contract.Action.FRESH
     assert contract.on_slot(True, True) is contract.Action.RESUME and contract.on_slot(True, True, True) is contract.Action.FRESH
