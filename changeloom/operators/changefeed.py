@@ -133,7 +133,7 @@ def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     A field that no footer of its version has was never removed: it stays under its own name, trimmed and in lower case, unless
     a field of that name lives on.
     """
-    a, b = changes.alias("a"), common.broadcast_if_small(names.select(*TABLE, "schema_version", "living"), 50_000).alias("b")
+    a, b = changes.alias("a"), common.broadcast_if_light(names.select(*TABLE, "schema_version", "living")).alias("b")
     joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.living")
     plain = lambda k: F.lower(F.trim(k))
     known = lambda k: F.coalesce(F.map_contains_key("living", plain(k)), F.lit(False))
@@ -144,7 +144,7 @@ def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     unset = F.transform("unset", lambda k: F.when(known(k), F.try_element_at("living", plain(k))).otherwise(plain(k)))
     named = joined.withColumn("entries", F.concat(F.filter(listed, lambda e: e["k"].isNotNull()), others))
     return named.withColumns(
-        {"row_fields": F.when(F.col("row_fields").isNotNull(), drift._first_wins("entries")), "unset": F.array_distinct(F.array_compact(unset))}
+        {"row_fields": F.when(F.col("row_fields").isNotNull(), drift._merged("entries")), "unset": F.array_distinct(F.array_compact(unset))}
     ).drop("living", "entries")
 
 

@@ -22,6 +22,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: A side of at most so many bytes, as measured, may be broadcast whatever the width of its rows.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_light(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, written as JSON, have at most ``max_bytes`` bytes, which is measured, else ``df`` as it is.
+
+    For sides whose rows have no bounded width, such as maps. ``df`` is computed for it, so it should be a table or a checkpoint.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 

@@ -3,9 +3,14 @@
 Correspondences between the fields of two neighbouring versions come from *similarity flooding*. Each schema is a graph: field
 nodes with edges to their parent (nesting by dotted names), their type, their type's family, their place and their neighbour in order. Pairs of
 nodes start with the likeness of their names (or 1 for equal types and places) and pass shares of their score along pairs of equally labelled
-edges, each edge weighted by the number of pairs it fans out to, until scores no longer move. Then correspondences are selected: equal names
-first, then the highest scores among consistent pairs, where consistent means one type and one place, each field at most
-once. What stays unmatched is lost or gained.
+edges, each edge weighted by the number of pairs it fans out to, until scores no longer move. A pair's *relative* score is its share of the best
+score of either of its fields; pairs below ``PROPOSED`` are no candidates. Two results are selected from the candidates:
+
+* the *report* (``changes``): a candidate of equal names is one field; a lost and a gained field that are candidates of each other are renamed if an
+  exact check holds, the same place and type. What stays unmatched is lost or gained.
+* the *correspondences* that values follow (``steps``, for the unified table): each field at most once, by falling score, among candidates of
+  equal names, or of one family of types and either the same place or like names (``LIKE``). So a column that moved while another took its place
+  keeps its values, and one that was renamed and retyped between two versions does too.
 
 Work per pair of versions is bounded by the number of fields, and pairs are spread over tasks. Only distinct schemas are
 compared, so the volume is that of versions, not of files or rows.
@@ -30,6 +35,8 @@ from changeloom.operators import common
 
 TABLE = ["epoch", "source_schema", "source_table"]
 EPSILON, MAX_ROUNDS = 1e-4, 60
+#: Least relative score of a candidate, and least likeness of names of a field that changed its place.
+PROPOSED, LIKE = 0.3, 0.5
 _FIELDS = "array<struct<name:string,type:string,pos:int>>"
 _CHANGES = "epoch bigint, source_schema string, source_table string, schema_version bigint, drift string, field string, was string"
 
@@ -127,33 +134,55 @@ def flood(old: list[tuple], new: list[tuple]) -> np.ndarray:
     return score
 
 
-def correspond(old: list[tuple], new: list[tuple]) -> list[tuple[int, int]]:
-    """Selected correspondences (index in old, index in new): equal names, then consistent pairs by falling score."""
-    by_name = {f[0]: i for i, f in enumerate(old)}
-    pairs = [(by_name[f[0]], j) for j, f in enumerate(new) if f[0] in by_name]
-    left = sorted({*range(len(old))} - {i for i, _ in pairs})
-    right = sorted({*range(len(new))} - {j for _, j in pairs})
-    if left and right:
-        score = flood(old, new)
-        open_pairs = [(-score[i, j], i, j) for i in left for j in right if old[i][1:] == new[j][1:]]
-        used_i, used_j = set(), set()
-        for _, i, j in sorted(open_pairs):
-            if i not in used_i and j not in used_j:
-                used_i.add(i), used_j.add(j), pairs.append((i, j))
-    return sorted(pairs)
-
-
-def compare(old: list[tuple], new: list[tuple]) -> list[tuple[str, str, str | None]]:
-    """(drift, field, earlier name) of each change."""
-    pairs = correspond(old, new)
-    out = []
+def propose(old: list[tuple], new: list[tuple]) -> list[tuple[float, int, int]]:
+    """Candidates (score, index in old, index in new) by falling score."""
+    if not old or not new:
+        return []
+    score = flood(old, new)
+    relative = np.minimum(score / np.maximum(score.max(1, keepdims=True), 1e-12), score / np.maximum(score.max(0, keepdims=True), 1e-12))
+    return sorted(((float(score[i, j]), int(i), int(j)) for i, j in zip(*np.nonzero(relative >= PROPOSED), strict=True)), key=lambda c: (-c[0], c[1], c[2]))
+
+
+def _picked(candidates: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """One to one, earlier candidates first."""
+    used_i, used_j, out = set(), set(), []
+    for i, j in candidates:
+        if i not in used_i and j not in used_j:
+            used_i.add(i), used_j.add(j), out.append((i, j))
+    return out
+
+
+def _open(old: list[tuple], new: list[tuple], found: list[tuple[float, int, int]]) -> tuple[list, list]:
+    """Candidates of equal names, and candidates of a lost and a gained field."""
+    before, after = {f[0] for f in old}, {f[0] for f in new}
+    named = [(i, j) for _, i, j in found if old[i][0] == new[j][0]]
+    return named, [(i, j) for _, i, j in found if old[i][0] not in after and new[j][0] not in before]
+
+
+def correspond(old: list[tuple], new: list[tuple], found: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """The correspondences that values follow."""
+    named, other = _open(old, new, found)
+    like = name_likeness([f[0] for f in old], [f[0] for f in new]) if other else None
+    other = [(i, j) for i, j in other if _family(old[i][1]) == _family(new[j][1]) and (old[i][2] == new[j][2] or like[i, j] >= LIKE)]
+    return _picked([*named, *other])
+
+
+def compare(old: list[tuple], new: list[tuple]) -> list[tuple[str, str | None, str | None]]:
+    """(drift, field, earlier name) of each change; drift ``step`` for each field that values follow to another name, or to none."""
+    found = propose(old, new)
+    named, other = _open(old, new, found)
+    pairs = _picked([*named, *[(i, j) for i, j in other if old[i][1:] == new[j][1:]]])
+    out: list[tuple[str, str | None, str | None]] = []
     for i, j in pairs:
         if old[i][0] != new[j][0]:
             out.append(("renamed", new[j][0], old[i][0]))
         elif old[i][1] != new[j][1]:
             out.append(("retyped", new[j][0], old[i][0]))
     out += [("added", f[0], None) for j, f in enumerate(new) if j not in {j for _, j in pairs}]
-    return out + [("removed", f[0], f[0]) for i, f in enumerate(old) if i not in {i for i, _ in pairs}]
+    out += [("removed", f[0], f[0]) for i, f in enumerate(old) if i not in {i for i, _ in pairs}]
+    to = dict(correspond(old, new, found))
+    steps = [("step", new[to[i]][0] if i in to else None, f[0]) for i, f in enumerate(old)]
+    return out + [s for s in steps if s[1] != s[2]]
 
 
 def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +203,7 @@ def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def changes(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
     """(table, schema_version, drift, field, was): each change; ``was`` is the field's name before, null if added."""
     pairs = neighbours(schemas(file_versions(log, manifest), staged))
-    return pairs.mapInPandas(_compare_batches, _CHANGES)
+    return pairs.mapInPandas(_compare_batches, _CHANGES).where("drift <> 'step'")
 
 
 @F.pandas_udf(StringType())
@@ -185,13 +214,13 @@ def _canonical(types: pd.Series) -> pd.Series:
 def final_names(found: DataFrame, versions: DataFrame) -> DataFrame:
     """(table, schema_version, names, living, types): of each version, maps from its field names to what they are in the newest one.
 
-    Renames are composed along versions. In ``names`` a field that was removed keeps the last name it had; where that is the name
+    Steps are composed along versions. In ``names`` a field that was removed keeps the last name it had; where that is the name
     of another field of the same version too, it is ``name@v``, v being the last version that had it. In ``living`` it has null,
     also if a later field took its name. ``types`` has the canonical type of the newest version that has the field.
     One group holds the versions of one source table, a bounded number.
     """
-    steps = found.where("drift in ('renamed', 'removed')").groupBy(*TABLE, "schema_version").agg(
-        F.map_from_entries(F.collect_list(F.struct("was", F.when(F.col("drift") == "renamed", F.col("field"))))).alias("step")
+    steps = found.where("drift = 'step'").groupBy(*TABLE, "schema_version").agg(
+        F.map_from_entries(F.collect_list(F.struct("was", "field"))).alias("step")
     )
     by_version = Window.partitionBy(*TABLE).orderBy("schema_version")
     a, b = versions.alias("a"), steps.alias("b")
@@ -225,10 +254,13 @@ def newest_names(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> Data
     return common.checkpoint(final_names(neighbours(versions).mapInPandas(_compare_batches, _CHANGES), versions))
 
 
-def _first_wins(entries: str) -> Column:
-    """Map of the entries (k, v) of an array column; of equal keys, which are spellings of one name, the first counts."""
+def _merged(entries: str) -> Column:
+    """Map of the entries (k, v) of an array column; a further entry of the same name, another spelling of it, is kept as ``name#n``."""
     keys = F.transform(entries, lambda e: e["k"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+    before = lambda e, i: F.size(F.filter(F.slice(keys, F.lit(1), i), lambda k: k == e["k"]))
+    named = lambda e, i: F.struct(F.when(before(e, i) == 0, e["k"]).otherwise(F.concat_ws("#", e["k"], before(e, i) + 1)).alias("k"), e["v"].alias("v"))
+    several = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.map_from_entries(F.when(several, F.transform(entries, named)).otherwise(F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))))
 
 
 def _named(log: DataFrame, names: DataFrame) -> DataFrame:
@@ -237,7 +269,7 @@ def _named(log: DataFrame, names: DataFrame) -> DataFrame:
     A field not in any footer of its version keeps its own name, or, where that is the newest name of another one of the version's fields,
     takes ``name@v`` with its version v.
     """
-    names = common.broadcast_if_small(names.drop("living"), 50_000)
+    names = common.broadcast_if_light(names.drop("living"))
     rows = common.read_changes(log, "schema_version").select(
         "rid", *TABLE, F.col("m_schema_version").alias("schema_version"), "op", "row_key", F.from_json("row_data", "map<string,string>").alias("f")
     )
@@ -255,57 +287,67 @@ def _named(log: DataFrame, names: DataFrame) -> DataFrame:
 def unified(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
     """(rid, table, schema_version, op, row_key, fields): every row of the log under the newest names of its source table.
 
-    ``fields`` is a map of text, values as they were written; ``unified_cast`` casts them, ``typed`` makes columns of one
+    ``fields`` is a map of text, values as they were written; ``unified_typed`` casts them, ``typed`` makes columns of one
     table's. Fields that were removed stay (they are null in later rows), under a name with their last version where a field that
     lives on has their name; fields not in any footer keep their own name.
     """
     rows = _named(log, newest_names(log, manifest, staged))
-    return rows.withColumn("entries", F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))).select(
-        "rid", *TABLE, "schema_version", "op", "row_key", _first_wins("entries").alias("fields")
-    )
-
-
-def _cast(v: Column, t: Column, numerics: list[str]) -> Column:
-    """Text of the value that text ``v`` has in canonical type ``t``; null if it does not fit.
-
-    Zones are brought to UTC, which times without zone are meant in. Types that Spark lacks keep their text; uuid, jsonb, numeric
-    without precision, bytea and lengths of character types are checked.
-    """
+    return rows.select("rid", *TABLE, "schema_version", "op", "row_key", _merged("entries").alias("fields"))
+
+
+#: Columns of ``unified_typed``: a value stands in the one of its type.
+VALUES = ("v_bool", "v_int", "v_dec", "v_float", "v_time", "v_text")
+#: Digits after the point that ``v_dec`` has; numerics of a greater scale are text.
+SCALE = 10
+_NUMERIC = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$"
+
+
+def _cast(v: Column, t: Column) -> dict[str, Column]:
+    """The value that text ``v`` has in canonical type ``t``, by column; null in all where it does not fit."""
+    base, args = F.regexp_extract(t, r"^[^(]*", 0), F.regexp_extract(t, r"\(([0-9]+)(?:,([0-9]+))?\)$", 1)
+    scale = F.nullif(F.regexp_extract(t, r"\(([0-9]+),([0-9]+)\)$", 2), F.lit("")).cast("int")
+    length = F.nullif(args, F.lit("")).cast("int")
+    number = F.when(v.rlike("^[+-]?[0-9]{1,19}$"), v.try_cast("bigint"))
+    top = F.when(base == "int2", 32767).when(base == "int4", 2147483647).otherwise(F.lit(9223372036854775807))
+    fraction = F.length(F.rtrim(F.regexp_extract(v, r"[.]([0-9]*)$", 1), F.lit("0")))
+    plain = v.rlike(_NUMERIC)
+    wide = (base == "numeric") & (F.coalesce(scale, fraction) > SCALE)
+    exact = F.when(plain & (fraction <= F.coalesce(scale, F.lit(SCALE))), v.try_cast(f"decimal(38,{SCALE})"))
+    in_range = scale.isNull() | (F.abs(exact) < F.pow(F.lit(10.0), length - scale))
     zoned = v.rlike(r":.*([zZ]|[+-][0-9:]+)$")
     instant = F.timestamp_add("MICROSECOND", F.unix_micros(v.try_cast("timestamp")), F.lit("1970-01-01").cast("timestamp_ntz"))
-    utc = F.when(zoned, instant).otherwise(v.try_cast("timestamp_ntz"))
-    out = F.when(t.isNull() | (t == "text"), v)
-    plain = [k for k in pgtypes.SPARK if k not in ("date", "timestamp", "timestamptz", "bytea")]
-    for k in [*plain, *numerics]:
-        out = out.when(t == k, v.try_cast(pgtypes.spark_type(k)).cast("string"))
-    out = out.when(t == "date", utc.cast("date").cast("string")).when(t == "timestamp", utc.cast("string"))
-    out = out.when(t == "timestamptz", F.concat(utc.cast("string"), F.lit("+00")))
-    out = out.when(t == "jsonb", F.when(F.try_parse_json(v).isNotNull(), v))
-    out = out.when(t == "uuid", F.when(v.rlike("^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower(v)))
-    out = out.when(t == "numeric", F.when(v.try_cast("double").isNotNull(), v)).when(t == "bytea", F.when(v.rlike(r"^\\x([0-9a-fA-F]{2})*$"), v))
-    length = F.regexp_extract(t, r"^(?:varchar|bpchar)\((\d+)\)$", 1)
-    return out.when(length == "", v).otherwise(F.when(F.length(F.rtrim(v)) <= length.try_cast("int"), v))
-
-
-def unified_cast(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
-    """As ``unified``, with every value cast to the newest type of its field, and ``misfits``.
-
-    Tables differ in columns, so ``fields`` is a map of text: that of the cast value, in one form per type. A value that does
-    not fit is null there and stands in the map ``misfits`` as it was written, so nothing is lost.
+    time = F.when(zoned, instant).otherwise(v.try_cast("timestamp_ntz"))
+    dated = F.when(base == "date", F.date_trunc("day", time.cast("timestamp")).cast("timestamp_ntz")).otherwise(time)
+    text = F.when(t.isNull(), v)
+    text = text.when(base == "jsonb", F.when(F.try_parse_json(v).isNotNull(), v))
+    text = text.when(base == "uuid", F.when(v.rlike("^(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lower(v)))
+    text = text.when(base == "bytea", F.when(v.rlike(r"^\\x([0-9a-fA-F]{2})*$"), v))
+    text = text.when(base.isin("varchar", "bpchar") & length.isNotNull(), F.when(F.length(F.rtrim(v)) <= length, v))
+    text = text.when(wide, F.when(plain & (scale.isNull() | (fraction <= scale)), v))
+    others = ["bool", "int2", "int4", "int8", "numeric", "float4", "float8", "date", "timestamp", "timestamptz"]
+    return {
+        "v_bool": F.when(base == "bool", F.when(v.isin("true", "t"), True).when(v.isin("false", "f"), False)),
+        "v_int": F.when(base.isin("int2", "int4", "int8") & number.between(-top - 1, top), number),
+        "v_dec": F.when((base == "numeric") & ~wide & in_range, exact),
+        "v_float": F.when(base == "float8", v.try_cast("double")).when(base == "float4", v.try_cast("float").cast("double")),
+        "v_time": F.when(base.isin("date", "timestamp", "timestamptz"), dated),
+        "v_text": text.when(~base.isin(others), v),
+    }
+
+
+def unified_typed(log: DataFrame, manifest: DataFrame, staged: DataFrame) -> DataFrame:
+    """(rid, table, schema_version, op, row_key, field, type, v_bool .. v_text, misfit): a row for each field of each row of the log.
+
+    Source tables differ in columns, so the union of all is in long form: ``field`` is the newest name, ``type`` its newest canonical type, and
+    the value stands, cast to that type, in the column of its kind. Dates and times are timestamps in UTC; types that Spark lacks are text.
+    Nothing is rounded: a value that does not fit stands in ``misfit`` as it was written. A row without data has one row with null in all of
+    them; two spellings of one name in one row are two rows.
     """
-    names = newest_names(log, manifest, staged)
-    # Distinct precisions and scales, of which there are few whatever the number of tables.
-    kinds = names.select(F.explode("types").alias("k", "t")).where("t like 'numeric(%'").distinct()
-    numerics = sorted({r.t for r in kinds.select("t").distinct().collect()})
-    rows = _named(log, names)
-    cast = F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("raw"), _cast(e["v"], e["t"], numerics).alias("v")))
-    rows = rows.withColumn("entries", cast)
-    fields = F.transform("entries", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
-    misfits = F.filter("entries", lambda e: e["raw"].isNotNull() & e["v"].isNull())
-    misfits = F.transform(misfits, lambda e: F.struct(e["k"].alias("k"), e["raw"].alias("v")))
-    return rows.withColumns({"fields": fields, "misfits": misfits}).select(
-        "rid", *TABLE, "schema_version", "op", "row_key", _first_wins("fields").alias("fields"), _first_wins("misfits").alias("misfits")
-    )
+    rows = _named(log, newest_names(log, manifest, staged))
+    long = rows.select("rid", *TABLE, "schema_version", "op", "row_key", F.inline_outer("entries")).withColumnsRenamed({"k": "field", "t": "type"})
+    long = long.withColumns(_cast(F.col("v"), F.col("type")))
+    fits = F.coalesce(*[F.col(c).cast("string") for c in VALUES]).isNotNull()
+    return long.withColumn("misfit", F.when(~fits, F.col("v"))).drop("v")
 
 
 def typed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:

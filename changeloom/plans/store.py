@@ -29,9 +29,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    rows = drift.unified_cast(table(spark, d, "change_log"), table(spark, d, "file_manifest"), table(spark, d, "staged_columns"))
-    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("NULL")))), "|")
-    return rows.withColumns({"fields": text("fields"), "misfits": text("misfits")})
+    return drift.unified_typed(table(spark, d, "change_log"), table(spark, d, "file_manifest"), table(spark, d, "staged_columns"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -59,6 +59,42 @@ union all select {T}, sv, 'added', name from gained anti join moved using ({T},
 union all select {T}, sv, 'removed', name from lost anti join (select {T}, sv, was as name from moved) using ({T}, sv, name)
 union all select n.{T.replace(", ", ", n.")}, n.sv, 'retyped', n.name from n join o using ({T}, sv, name) where n.type <> o.type"""
 
+# A field's fate: from each version on it follows its renames, and ends at the last version that had it.
+_FATE = f"""{_DRIFT},
+ one as (select {T}, sv, name, min((pos, type)) as p from cols group by all),
+ fate as (select {T}, sv as origin, name as k, p[2] as type, sv as av, name, cast(null as bigint) as until from one
+   union all select f.{T.replace(", ", ", f.")}, f.origin, f.k, f.type, s.sv, coalesce(m.name, f.name), case when m.name is null and l.name is not null then f.av end
+   from fate f join step s on (s.epoch, s.source_schema, s.source_table, s.old) = (f.epoch, f.source_schema, f.source_table, f.av) and s.sv is not null
+   left join lost l on (l.epoch, l.source_schema, l.source_table, l.sv, l.name) = (s.epoch, s.source_schema, s.source_table, s.sv, f.name)
+   left join moved m on (m.epoch, m.source_schema, m.source_table, m.sv, m.was) = (s.epoch, s.source_schema, s.source_table, s.sv, f.name)
+   where f.until is null),
+ final as (select {T}, origin as sv, k, type, name, until from fate qualify row_number() over (partition by {T}, origin, k order by av desc) = 1),
+ crowd as (select *, count(*) over (partition by {T}, sv, name) as n from final),
+ labelled as (select *, case when until is not null and max(n) over (partition by {T}, name) > 1 then name || '@' || until else name end as final_name from crowd),
+ names as (select {T}, sv, k, final_name, arg_max(type, sv) over (partition by {T}, final_name order by sv rows between unbounded preceding and unbounded following) as type from labelled)"""
+
+_INT = {"int2": 32767, "int4": 2147483647, "int8": 9223372036854775807}
+P2_UNIFIED = f"""with recursive {_FATE},
+ e as (select r.rid, r.{T.replace(", ", ", r.")}, r.schema_version, r.op, r.row_key, lower(trim(j.key)) as k, j.value ->> '$' as v
+       from rows_ r left join lateral json_each(r.row_data) j on true),
+ x as (select e.* exclude (k, v), v, n.type, case when e.k is null then null when n.k is not null then n.final_name
+         when exists (select 1 from names o where (o.epoch, o.source_schema, o.source_table, o.sv, o.final_name) = (e.epoch, e.source_schema, e.source_table, e.schema_version, e.k)) then e.k || '@' || e.schema_version
+         else e.k end as field
+       from e left join names n on (n.epoch, n.source_schema, n.source_table, n.sv, n.k) = (e.epoch, e.source_schema, e.source_table, e.schema_version, e.k)),
+ y as (select *, regexp_extract(type, '^[^(]*') as b, try_cast(nullif(regexp_extract(type, '[(]([0-9]+)', 1), '') as int) as len,
+         try_cast(nullif(regexp_extract(type, ',([0-9]+)[)]$', 1), '') as int) as sc, length(rtrim(regexp_extract(v, '[.]([0-9]*)$', 1), '0')) as fr from x),
+ z as (select *, case when b = 'bool' then case when v in ('true', 't') then true when v in ('false', 'f') then false end end as v_bool,
+         case when regexp_full_match(v, '[+-]?[0-9]+') then case {" ".join(f"when b = '{k}' and try_cast(v as hugeint) between {-m - 1} and {m} then try_cast(v as bigint)" for k, m in _INT.items())} end end as v_int,
+         case when b = 'numeric' and coalesce(sc, fr) <= 10 and fr <= coalesce(sc, 10) and (sc is null or abs(try_cast(v as decimal(38, 10))) < pow(10, len - sc)) then try_cast(v as decimal(38, 10)) end as v_dec,
+         case b when 'float8' then try_cast(v as double) when 'float4' then cast(try_cast(v as float) as double) end as v_float,
+         case when b in ('date', 'timestamp', 'timestamptz') then case when b = 'date' then date_trunc('day', u) else u end end as v_time,
+         case when type is null then v when b = 'jsonb' then case when json_valid(v) then v end when b = 'uuid' then case when try_cast(v as uuid) is not null then lower(v) end
+           when b in ('varchar', 'bpchar') and len is not null then case when length(rtrim(v)) <= len then v end
+           when b in ('bool', 'int2', 'int4', 'int8', 'numeric', 'float4', 'float8', 'date', 'timestamp', 'timestamptz') then null else v end as v_text
+       from (select *, case when regexp_matches(v, ':.*([zZ]|[+-][0-9:]+)$') then try_cast(v as timestamptz) at time zone 'UTC' else try_cast(v as timestamp) end as u from y))
+select rid, {T}, schema_version, op, row_key, field, type, v_bool, v_int, v_dec, v_float, v_time, v_text,
+  case when coalesce(cast(v_bool as varchar), cast(v_int as varchar), cast(v_dec as varchar), cast(v_float as varchar), cast(v_time as varchar), v_text) is null then v end as misfit from z"""
+
 P3 = f"""with {FILES}, runs as (
   select {T}, max((updated_at, {n16("raw_appended_lsn")}, {n16("transformed_lsn")})) as r from loader_checkpoint where outcome = 'committed' group by {T}),
  j as (select f.file_id, f.lsn_end, f.created_at, r[1] as updated_at, coalesce(r[2], repeat('0', 16)) as raw, coalesce(r[3], repeat('0', 16)) as done
@@ -92,6 +128,7 @@ ORACLE = {
     "p1_found": P1,
     "p1_once": P1_ONCE,
     "p2_found": P2,
+    "p2_unified": P2_UNIFIED,
     "p3_found": P3,
     "p4_found": P4,
     "p4_states": P4_STATES,

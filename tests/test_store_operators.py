@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +129,9 @@ def columns(*names, kind="text"):
 def test_compare_versions():
     old = [("id", "int8", 1), ("name", "text", 2), ("qty", "int4", 3), ("gone", "bool", 4)]
     new = [("id", "int8", 1), ("full_name", "text", 2), ("qty", "int8", 3), ("came", "date", 5)]
-    assert sorted(drift.compare(old, new)) == [("added", "came", None), ("removed", "gone", "gone"), ("renamed", "full_name", "name"), ("retyped", "qty", "qty")]
+    report = sorted(c for c in drift.compare(old, new) if c[0] != "step")
+    assert report == [("added", "came", None), ("removed", "gone", "gone"), ("renamed", "full_name", "name"), ("retyped", "qty", "qty")]
+    assert {(was, to) for kind, to, was in drift.compare(old, new) if kind == "step"} == {("name", "full_name"), ("gone", None)}
     assert drift.compare([], new) == [("added", n, None) for n, _, _ in new]
     assert drift.compare(old, old) == []
 
@@ -138,6 +143,37 @@ def test_flooding_prefers_like_fields():
     assert score[1, 1] > score[1, 2] and score[2, 2] > score[2, 1] and score[0, 0] == score.max()
 
 
+def test_values_follow_a_column_whose_place_another_took():
+    old = [("id", "int8", 1), ("customer_name", "text", 2), ("qty", "int4", 3)]
+    new = [("id", "int8", 1), ("note", "text", 2), ("quantity", "int8", 3), ("customer_nm", "text", 4)]
+    got = drift.compare(old, new)
+    assert {(was, to) for kind, to, was in got if kind == "step"} == {("customer_name", "customer_nm"), ("qty", "quantity")}
+    # The report keeps its own rule: same place and type.
+    assert {c for c in got if c[0] != "step"} == {("renamed", "note", "customer_name"), ("added", "customer_nm", None), ("added", "quantity", None), ("removed", "qty", "qty")}
+
+
+def test_scores_decide(monkeypatch):
+    """With noise in place of the flooded scores both the report and the correspondences change; with the scores they equal the rule."""
+    rnd = random.Random(5)
+    noise = np.random.default_rng(5)
+    kinds = ["int4", "text", "bool", "varchar(20)", "numeric(10,2)"]
+    differ = [0, 0]
+    for _ in range(60):
+        old = [(f"f{k}_{rnd.choice('abcdef') * 3}", rnd.choice(kinds), k) for k in range(1, rnd.randrange(4, 12))]
+        new = [(n if rnd.random() > 0.25 else f"g{p}_{rnd.choice('uvwxyz') * 4}", t if rnd.random() > 0.1 else rnd.choice(kinds), p) for n, t, p in old if rnd.random() > 0.1]
+        new += [(f"h{k}", rnd.choice(kinds), len(old) + 1 + k) for k in range(rnd.randrange(3))]
+        before, after = {f[0] for f in old}, {f[0] for f in new}
+        moved = {(x[0], y[0]) for x in old for y in new if x[1:] == y[1:] and x[0] not in after and y[0] not in before}
+        got = drift.compare(old, new)
+        assert {(was, f) for kind, f, was in got if kind == "renamed"} == moved
+        with monkeypatch.context() as m:
+            m.setattr(drift, "flood", lambda a, b: noise.random((len(a), len(b))))
+            other = drift.compare(old, new)
+        for i, step in enumerate((False, True)):
+            differ[i] += {c for c in got if (c[0] == "step") == step} != {c for c in other if (c[0] == "step") == step}
+    assert min(differ) > 20
+
+
 def test_drift_of_files(spark):
     uri = "s3://b/1/p/t/00000000000000{:02}-a.parquet"
     rows = [change(i, "a", i, uri=uri.format(i), version=v) for i, v in enumerate([1, 1, 3], start=1)]
@@ -184,7 +220,14 @@ def test_unified_keeps_removed_fields_whose_name_is_taken(spark):
         1: {"id": "1", "a@2": "gone1"}, 2: {"id": "2", "a@2": "gone2", "a": "live2"}, 3: {"id": "3", "a": "live3"}, 4: {"id": "4", "a": "live4"},
         5: {"id": "5", "a@3": "odd", "a": "live5"},
     }
-    assert {r.rid: r.misfits for r in drift.unified_cast(log(spark, rows), files, staged).collect()} == dict.fromkeys(range(1, 6), {})
+    assert {r.misfit for r in drift.unified_typed(log(spark, rows), files, staged).collect()} == {None}
+
+
+def test_two_spellings_of_one_name_are_both_kept(spark):
+    at, files, staged = versions(spark, ["id", "a"])
+    rows = [change(1, "1", 1, uri=at(1), version=1, data={"id": 1, "a": "x", " A": "y"})]
+    assert drift.unified(log(spark, rows), files, staged).first().fields == {"id": "1", "a": "x", "a#2": "y"}
+    assert sorted(r.v_text for r in drift.unified_typed(log(spark, rows), files, staged).collect() if r.field == "a") == ["x", "y"]
 
 
 def test_unified_query_casts_to_the_newest_types(spark, tmp_path):
@@ -200,12 +243,15 @@ def test_unified_query_casts_to_the_newest_types(spark, tmp_path):
     log(spark, rows).write.parquet(f"{tmp_path}/change_log.parquet")
     manifest(spark, [file(v, uri.format(v)) for v in (1, 2)]).write.parquet(f"{tmp_path}/file_manifest.parquet")
     spark.createDataFrame(staged, "file_id bigint, pos int, col_name string, col_type string, is_key boolean").write.parquet(f"{tmp_path}/staged_columns.parquet")
-    got = {r.rid: (r.fields, r.misfits) for r in store.p2_unified(spark, str(tmp_path)).collect()}
-    assert got == {
-        1: ("at=2024-07-18 00:00:00+00|doc=NULL|flag=NULL|id=1|n=5|old=2024-01-01|price=NULL|tag=NULL", "doc=no json|flag=true|price=12723.55|tag=long"),
-        2: ('at=2024-12-01 02:18:19+00|doc={"k":1}|flag=7|id=2|n=x|price=1.500|tag=NULL', ""),
-        3: (None, None),
-    }
+    out = store.p2_unified(spark, str(tmp_path))
+    values = {(r.rid, r.field): (next((r[c] for c in drift.VALUES if r[c] is not None), None), r.misfit) for r in out.collect()}
+    utc = datetime.datetime
+    assert values == {
+        (1, "id"): (1, None), (1, "flag"): (None, "true"), (1, "n"): ("5", None), (1, "at"): (utc(2024, 7, 18), None), (1, "price"): (None, "12723.55"),
+        (1, "tag"): (None, "long"), (1, "doc"): (None, "no json"), (1, "old"): (utc(2024, 1, 1), None),
+        (2, "id"): (2, None), (2, "flag"): (7, None), (2, "n"): ("x", None), (2, "at"): (utc(2024, 12, 1, 2, 18, 19), None), (2, "price"): (decimal.Decimal("1.5"), None),
+        (2, "tag"): (None, None), (2, "doc"): ('{"k":1}', None), (3, None): (None, None),
+    }
 
 
 # New or changed files only
