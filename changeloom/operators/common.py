@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,48 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Pointer:
+    """Which version of a folder's data is current: numbered files of JSON, the highest number counts.
+
+    A pointer is written aside and renamed to a name that does not exist yet, so there is no moment without one, and what is written before it
+    counts for nothing until then. Moving takes one writer at a time; two that race for a number cannot both get it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self._path(f"{self.root}/{name}")
+
+    def names(self, prefix: str) -> list[str]:
+        root = self._path(self.root)
+        found = [s.getPath().getName() for s in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def current(self) -> dict | None:
+        names = self.names("current-")
+        return json.loads(self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).first()[0]) if names else None
+
+    def move(self, to: dict) -> None:
+        number = int(names[-1].removeprefix("current-")) + 1 if (names := self.names("current-")) else 1
+        tmp, final = self.path(f"next-{uuid.uuid4().hex}"), self.path(f"current-{number:012d}")
+        out = self.fs.create(tmp, False)
+        out.write(json.dumps(to).encode())
+        out.close()
+        if self.fs.exists(final) or not self.fs.rename(tmp, final):
+            raise OSError(f"{final} could not be made")
+
+    def clean(self, prefix: str, kept: set[str]) -> None:
+        """Deletes earlier pointers and the folders named ``prefix``.. that are not ``kept``."""
+        for name in [*self.names("current-")[:-1], *self.names("next-")]:
+            self.fs.delete(self.path(name), False)
+        for name in self.names(prefix):
+            if name not in kept:
+                self.fs.delete(self.path(name), True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; it cuts the lineage and survives the loss of executors."""
     sc = df.sparkSession.sparkContext

@@ -16,13 +16,14 @@ other side holds. Extra columns of the log that the mirror lacks are ignored.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from changeloom.operators import common
+
 GUARD = ["_commit_lsn", "_lsn"]
 POSITION = ["commit_lsn", "lsn"]
 ZERO = "0" * 16
@@ -196,25 +197,16 @@ def keyset_page(df: DataFrame, keys: list[str], cursor: tuple | None, limit: int
 class MirrorStore:
     """Versions of a mirror on disk, clustered by a hash of the key into buckets, each a folder of Parquet files.
 
-    A pointer file names the folder of every bucket. An application reads and writes only the buckets that its changes touch (all of them after a
-    truncate) and leaves the others as they are. Pointers are numbered, written aside and renamed to a name that does not exist yet; the
-    highest number counts. There is no moment without a pointer, and a failed write leaves the old version current. Buckets double
-    when they hold more than ``bucket_rows`` rows on average, so a bucket's size does not grow with the table.
+    A pointer (``common.Pointer``) names the folder of every bucket. An application reads and writes only the buckets that its changes touch (all of them after a
+    truncate) and leaves the others as they are. A failed write leaves the old version current. Buckets double when they hold more than ``bucket_rows`` rows on average, so a bucket's size does not grow with the table.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 8, bucket_rows: int = 2_000_000):
         self.spark, self.root, self.keys, self.buckets, self.bucket_rows = spark, root.rstrip("/"), keys, buckets, bucket_rows
-        self._path, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(self._conf)
-
-    def _pointers(self) -> list[str]:
-        root = self._path(self.root)
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        return sorted(n for n in names if n.startswith("current-"))
+        self.pointer = common.Pointer(spark, self.root)
 
     def current(self) -> dict | None:
-        names = self._pointers()
-        return json.loads(self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).first()[0]) if names else None
+        return self.pointer.current()
 
     def _load(self, cur: dict, buckets: list[int] | None = None) -> DataFrame:
         wanted = [cur["files"][str(b)] for b in (range(cur["buckets"]) if buckets is None else buckets) if str(b) in cur["files"]]
@@ -233,24 +225,15 @@ class MirrorStore:
         folder = f"{self.root}/v-{version}"
         placed = rows.withColumn("_b", self._bucket(n)).repartition(n, "_b").sortWithinPartitions("_b", *self.keys)
         placed.write.partitionBy("_b").parquet(folder)
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
+        names = [s.getPath().getName() for s in self.pointer.fs.listStatus(self.pointer.path(f"v-{version}"))]
         return {x.removeprefix("_b="): f"{folder}/{x}" for x in names if x.startswith("_b=")}
 
-    def _point(self, pointer: dict) -> str:
-        number = int(names[-1].removeprefix("current-")) + 1 if (names := self._pointers()) else 1
-        tmp, final = self._path(f"{self.root}/next-{uuid.uuid4().hex}"), self._path(f"{self.root}/current-{number:012d}")
-        out = self._fs.create(tmp, False)
-        out.write(json.dumps(pointer).encode())
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
-            raise OSError(f"{final} could not be made")
-        return pointer["version"]
-
     def _publish(self, version: str, n: int, files: dict[str, str], columns: T.StructType, note: dict | None) -> str:
         kept = {"truncated": (self.current() or {}).get("truncated", "")} | (note or {})
         pointer = {"version": version, "buckets": n, "files": files, "columns": columns.jsonValue()} | kept
         pointer["rows"] = self._load(pointer).count()  # of footers alone
-        return self._point(pointer)
+        self.pointer.move(pointer)
+        return version
 
     def write(self, mirror: DataFrame, note: dict | None = None, buckets: int | None = None) -> str:
         """A whole new mirror."""
@@ -282,11 +265,5 @@ class MirrorStore:
 
     def vacuum(self) -> None:
         """Deletes folders that the current version does not name, and older pointers."""
-        cur = self.current()
-        kept = {f.rsplit("/", 2)[-2] for f in cur["files"].values()}
-        for name in self._pointers()[:-1]:
-            self._fs.delete(self._path(f"{self.root}/{name}"), False)
-        for s in self._fs.listStatus(self._path(self.root)):
-            name = s.getPath().getName()
-            if name.startswith("next-") or name.startswith("v-") and name not in kept:
-                self._fs.delete(s.getPath(), True)
+        kept = {f.rsplit("/", 2)[-2] for f in self.current()["files"].values()}
+        self.pointer.clean("v-", kept)

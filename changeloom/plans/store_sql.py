@@ -124,6 +124,10 @@ select file_id from files left join n using (object) where coalesce(n, 0) < 40""
 P6_MERGED = f"""with {ROWS}, k as (select *, min(rid) over (partition by {ID}) as keep_id from rows_)
 select rid, epoch, source_schema, source_table, schema_version, row_key, lsn, op from k where rid = keep_id"""
 
+P6_PLAN = f"""with {ROWS}, k as (select *, min(rid) over (partition by {ID}) as keep_id from rows_)
+select {T}, schema_version, count(*) as n_rows, cast(sum(coalesce(strlen(row_data), 0)) as bigint) as n_bytes, count(distinct object) as n_objects, min(lsn) as lsn_start, max(lsn) as lsn_end
+from k where rid = keep_id group by {T}, schema_version"""
+
 ORACLE = {
     "p1_found": P1,
     "p1_once": P1_ONCE,
@@ -134,5 +138,6 @@ ORACLE = {
     "p4_states": P4_STATES,
     "p5_found": P5,
     "p6_found": P6,
+    "p6_plan": P6_PLAN,
     "p6_merged": P6_MERGED,
 }

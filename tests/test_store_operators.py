@@ -442,19 +442,48 @@ def test_inventory_and_small_files(spark):
     assert got == {1: 45, 2: 1, 4: 0}
 
 
-def test_compaction_keeps_each_message_once(spark, tmp_path):
+def test_compaction_keeps_each_message_once(spark, tmp_path, monkeypatch):
     rows = [change(i, str(i % 30), i % 30, version=1 + i % 2, table=None if i % 7 == 0 else "t") for i in range(90)]
     rows = [r if i % 2 else (*r[:6], None, *r[7:]) for i, r in enumerate(rows)]
     df = log(spark, rows)
     target = f"file://{tmp_path}/merged"
+    assert compact.read(spark, target) is None
     for _ in range(2):
-        out = compact.compact(df, target, target_rows=20)
+        out = compact.compact(df, target, target_bytes=4_000)
         ids = ["epoch", "source_schema", "source_table", "row_key", "lsn"]
         assert out.count() == out.select(*ids).distinct().count() == compact.merged_messages(df).count()
-    assert compact.merge_plan(df, 20).agg(F.sum("n_rows")).first()[0] == out.count()
+    assert compact.merge_plan(df).agg(F.sum("n_rows")).first()[0] == out.count()
     with pytest.raises(compact.NotReconciled):
         compact.reconcile(df, out.limit(3))
+    with pytest.raises(compact.NotReconciled):
+        compact.reconcile(df, out.withColumn("row_key", F.concat("row_key", F.lit("!"))))
     assert compact.merged_messages(log(spark, [])).count() == 0
+    # A run that fails before the swap leaves the data as it was; the next one cleans up.
+    with monkeypatch.context() as m:
+        m.setattr(compact, "reconcile", lambda *a: (_ for _ in ()).throw(compact.NotReconciled()))
+        with pytest.raises(compact.NotReconciled):
+            compact.compact(df.limit(5), target)
+    assert compact.read(spark, target).count() == out.count()
+    compact.compact(df, target)
+    assert len([p for p in (tmp_path / "merged").iterdir() if p.name.startswith("data-")]) == 1
+
+
+def test_files_have_the_target_size_and_stand_in_order(spark, tmp_path):
+    rows = [change(i, str(i), i, version=1 + i % 2, table=f"t{i % 5}" if i % 3 else "hot", data={"x": "y" * (900 if i % 10 == 0 else 50)}) for i in range(3000)]
+    df = log(spark, rows + [change(5000 + i, "dup", 7, table="hot") for i in range(1500)])
+    target = 120_000
+    cuts = compact.boundaries(df, target)
+    merged = compact.clustered(compact.messages(df), cuts)
+    sizes = {r.out_part: r.b for r in merged.groupBy("out_part").agg(F.sum(compact.row_bytes(merged)).alias("b")).collect()}
+    assert len(sizes) > 8 and max(sizes.values()) < 1.7 * target and sorted(sizes) == list(range(len(sizes)))
+    keys = [r.k for r in merged.select(compact.cluster_key().alias("k")).collect()]
+    assert keys == sorted(keys) and len(keys) == 3001
+    many = [f"{i:05d}" for i in range(0, 5000, 5)]
+    got = spark.range(5000).select(F.col("id"), compact.range_of(F.lpad(F.col("id").cast("string"), 5, "0"), many).alias("p")).collect()
+    assert all(r.p == r.id // 5 + 1 for r in got)
+    compact.compact(df, f"file://{tmp_path}/merged", target)
+    files = [p for p in (tmp_path / "merged").rglob("*.parquet")]
+    assert len(files) == len(cuts) + 1
 
 
 def test_extra_columns_with_clashing_names(spark):
