@@ -6,17 +6,20 @@ has a Bloom filter, kept as segments of 32,768 bits; a bucket gets as many segme
 that holds a third of all rows is cut by hash instead of overflowing one segment.
 
 1. *Filter*: per segment, the cells that more than one delivery set (for a closed set), or all cells set so far (for a
-   store that batches are held against).
-2. *Screen*: a row with one clear cell is definitely new and goes no further.
-3. *Verify*: the rest, true repeats and about 1 % others, are compared exactly on all identifier columns, against only
-   the storage of the same buckets.
+   store that batches are held against). Cells are counted before the shuffle, packed in one number; so copies without end cost no more than one.
+2. *Screen*: a row with one clear cell is definitely new and goes no further. The filters have two bytes a row; they are written once, so their size is
+   known, and broadcast only below ``common.BROADCAST_BYTES``. Beyond it rows are shuffled to their segment.
+3. *Verify*: the rest, true repeats and about 1 % others, are compared exactly on all identifier columns; a store reads only the
+   folders of the buckets they are in.
 
-The filter is never collected: it is joined by (bucket, segment), broadcast by Spark only below its own size threshold.
 Null identifier columns equal each other. Ties (equal ids) keep one arbitrary but equal id. Empty input gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +64,13 @@ def located(ids: DataFrame, counts: DataFrame) -> DataFrame:
 
 def build_filter(rows: DataFrame, at_least: int = 1) -> DataFrame:
     """(_bucket, _segment, _bits): the cells that at least so many rows set. Cells are counted before any gathering."""
-    cells = rows.select("_bucket", "_segment", F.explode("_cells").alias("_cell"))
-    counted = cells.groupBy("_bucket", "_segment", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.where(F.col("n") >= at_least)
-        .groupBy("_bucket", "_segment")
-        .agg(F.expr("bitmap_construct_agg(_cell)").alias("_bits"))
+    place = F.shiftleft(F.col("_bucket").cast("bigint"), 47).bitwiseOR(F.shiftleft(F.col("_segment").cast("bigint"), 15))
+    packed = rows.select(place.alias("_p"), F.explode("_cells").alias("_cell")).select(F.col("_p").bitwiseOR(F.col("_cell")).alias("_c"))
+    often = packed.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    cells = often.select(
+        F.shiftright("_c", 47).cast("int").alias("_bucket"), F.shiftright("_c", 15).bitwiseAND(0xFFFFFFFF).cast("int").alias("_segment"), F.col("_c").bitwiseAND(BITS - 1).alias("_cell")
     )
+    return cells.groupBy("_bucket", "_segment").agg(F.expr("bitmap_construct_agg(_cell)").alias("_bits"))
 
 
 def _set(cell: Column) -> Column:
@@ -83,12 +86,18 @@ def screen(rows: DataFrame, filters: DataFrame) -> DataFrame:
     return rows.join(filters, ["_bucket", "_segment"]).where(hit).drop("_bits")
 
 
+def _bounded(filters: DataFrame) -> DataFrame:
+    """Written filters, marked for broadcast if all their bits together are few enough."""
+    return F.broadcast(filters) if filters.count() * (BITS // 8 + 32) <= common.BROADCAST_BYTES else filters
+
+
 def repeats(ids: DataFrame, identity: list[str], id_col: str, position: Column) -> DataFrame:
     """(keep_id, dup_id): every row that is not the smallest id of its message, with that smallest id."""
     rows = addressed(ids.select(id_col, *identity, position.alias("_position")), identity, F.col("_position"))
     rows = located(rows, segment_counts(rows)).select(id_col, *identity, "_bucket", "_segment", "_cells")
+    filters = _bounded(common.checkpoint(build_filter(rows, at_least=2)))
     # Read twice below; few rows pass the screen, so they are written once instead of being screened again.
-    possible = common.checkpoint(screen(rows, build_filter(rows, at_least=2)).select(id_col, *identity))
+    possible = common.checkpoint(screen(rows, filters).select(id_col, *identity))
     # Copies of one message are first reduced within salts, so that a message repeated without end fills no task.
     salted = possible.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
     part = salted.groupBy(*identity, "_salt").agg(F.min(id_col).alias("_k"), F.count(F.lit(1)).alias("_n"))
@@ -124,45 +133,99 @@ def once(log: DataFrame) -> DataFrame:
 class SeenStore:
     """Identifiers seen so far, for batches that arrive one after another.
 
-    Each batch number owns one folder, overwritten by a retry, so a batch applied twice is stored once. A new store on the same
-    root knows the batches whose identifiers and filters were stored to the end. Identifiers are
-    partitioned by time bucket; beside them lie the batch's filter segments. ``fresh`` screens a batch against the
-    filters of the buckets it touches and reads the stored identifiers of matching buckets only.
+    The identifiers of a batch lie in folders by group of time buckets, beside them the batch's filters. A pointer (``common.Pointer``) lists the
+    batches that were stored to the end, so a new store on the same root knows them, and a retry takes the place of the batch it
+    repeats. ``fresh`` screens a batch against the merged filters of the buckets it touches and reads stored identifiers from matching folders only.
+    When more than ``keep`` batches are listed, all but the last are merged into one, so neither files nor filters grow with their number.
     """
 
-    def __init__(self, spark: SparkSession, root: str, identity: list[str], segments: int = 1):
-        self.spark, self.root, self.identity, self.segments = spark, root.rstrip("/"), identity, segments
-        self.batches = sorted(self._finished("ids") & self._finished("filters"))
+    GROUPS = 16
+
+    def __init__(self, spark: SparkSession, root: str, identity: list[str], segments: int = 1, keep: int = 8):
+        self.spark, self.root, self.identity, self.segments, self.keep = spark, root.rstrip("/"), identity, segments, keep
+        self.pointer = common.Pointer(spark, self.root)
 
-    def _finished(self, what: str) -> set[int]:
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{what}/batch=*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-        return {int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found}
+    def entries(self) -> list[dict]:
+        """Stored batches: the numbers merged in each, and its folder."""
+        return (self.pointer.current() or {"entries": []})["entries"]
 
     def _rows(self, ids: DataFrame, position: Column) -> DataFrame:
         rows = addressed(ids, self.identity, position)
         counts = self.spark.range(RING).select(F.col("id").cast("int").alias("_bucket"), F.lit(self.segments).alias("_segments"))
-        return located(rows, counts)
+        return located(rows, counts).withColumn("_group", F.pmod("_bucket", F.lit(self.GROUPS)))
 
-    def _read(self, what: str, batch: int) -> DataFrame:
-        paths = [f"{self.root}/{what}/batch={b}" for b in self.batches if b < batch]
-        return self.spark.read.option("basePath", f"{self.root}/{what}").parquet(*paths)
+    def _read(self, what: str, entries: list[dict], groups: list[int]) -> DataFrame:
+        """Stored rows of some groups of buckets; a filter on the folders' names, so others are not opened."""
+        out = None
+        for e in entries:
+            df = self.spark.read.parquet(f"{self.root}/{e['folder']}/{what}").where(F.col("_group").isin(groups))
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def _groups(self, rows: DataFrame) -> list[int]:
+        return [r[0] for r in rows.select("_group").distinct().collect()]  # at most GROUPS numbers
+
+    def possible(self, rows: DataFrame, entries: list[dict]) -> DataFrame:
+        """The rows that the filters of earlier batches cannot rule out."""
+        filters = self._read("filters", entries, self._groups(rows))
+        merged = filters.groupBy("_bucket", "_segment").agg(F.expr("bitmap_or_agg(_bits)").alias("_bits"))
+        return screen(rows, _bounded(common.checkpoint(merged)))
+
+    def stored(self, possible: DataFrame, entries: list[dict]) -> DataFrame:
+        """Stored identifiers of the groups of buckets that the possible repeats are in."""
+        return self._read("ids", entries, self._groups(possible)).select("_bucket", "_h", *self.identity)
 
     def fresh(self, ids: DataFrame, id_col: str, position: Column, batch: int) -> DataFrame:
         """The rows of ``ids`` whose message is in no earlier batch, one (the smallest id) of each."""
         rows = self._rows(ids, position)
         first = rows.join(repeats(ids, self.identity, id_col, position).select(F.col("dup_id").alias(id_col)), id_col, "left_anti")
-        if any(b < batch for b in self.batches):
-            # One filter of a bucket may exist per batch; a row is possible if any of them has all its cells.
-            possible = screen(first, self._read("filters", batch).drop("batch")).dropDuplicates([id_col])
-            stored = self._read("ids", batch).select("_bucket", *self.identity)
-            a, b = possible.alias("a"), stored.alias("b")
-            seen = a.join(b, common.same(["_bucket", *self.identity]), "left_semi")
-            first = first.join(seen.select(id_col), id_col, "left_anti")
+        earlier = [e for e in self.entries() if max(e["batches"]) < batch]
+        if earlier:
+            possible = common.checkpoint(self.possible(first, earlier))
+            a, b = possible.alias("a"), self.stored(possible, earlier).alias("b")
+            on = (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._h") == F.col("b._h")) & common.same(self.identity)
+            first = first.join(a.join(b, on, "left_semi").select(id_col), id_col, "left_anti")
         return first
 
     def remember(self, fresh: DataFrame, batch: int) -> None:
-        ids, filters = f"{self.root}/ids/batch={batch}", f"{self.root}/filters/batch={batch}"
-        fresh.select("_bucket", "_segment", "_cells", *self.identity).write.mode("overwrite").partitionBy("_bucket").parquet(ids)
-        build_filter(self.spark.read.parquet(ids)).write.mode("overwrite").parquet(filters)
-        self.batches = sorted({*self.batches, batch})
+        folder = f"batch-{batch:012d}-{uuid.uuid4().hex}"
+        rows = fresh.select("_bucket", "_segment", "_cells", "_group", "_h", *self.identity)
+        rows.repartition("_group", F.pmod("_h", F.lit(SALTS))).write.partitionBy("_group").parquet(f"{self.root}/{folder}/ids")
+        self._index(folder)
+        others = [e for e in self.entries() if batch not in e["batches"]]
+        self.pointer.move({"entries": sorted([*others, {"batches": [batch], "folder": folder}], key=lambda e: max(e["batches"]))})
+        if len(self.entries()) > self.keep:
+            self.merge()
+
+    def _index(self, folder: str) -> None:
+        ids = self.spark.read.parquet(f"{self.root}/{folder}/ids")
+        filters = build_filter(ids).withColumn("_group", F.pmod("_bucket", F.lit(self.GROUPS)))
+        filters.repartition("_group").write.partitionBy("_group").parquet(f"{self.root}/{folder}/filters")
+
+    def merge(self) -> None:
+        """One entry of all batches but the last, which may still be retried; their folders are deleted."""
+        *old, last = self.entries()
+        folder = f"merged-{uuid.uuid4().hex}"
+        rows = self._read("ids", old, list(range(self.GROUPS)))
+        rows.repartition("_group", F.pmod("_h", F.lit(SALTS))).write.partitionBy("_group").parquet(f"{self.root}/{folder}/ids")
+        self._index(folder)
+        self.pointer.move({"entries": [{"batches": sorted(b for e in old for b in e["batches"]), "folder": folder}, last]})
+        for prefix in ("batch-", "merged-"):
+            self.pointer.clean(prefix, {folder, last["folder"]})
+
+
+def once_by_batches(log: DataFrame, root: str, batches: int) -> DataFrame:
+    """(rid, identity) of ``once`` for a log delivered in batches of equal spans of ``rid``; every batch opens the store anew, as after a restart."""
+    ids = common.read_changes(log).select("rid", *common.IDENTITY)
+    span = log.agg(F.min("rid").alias("a"), F.max("rid").alias("z")).first()
+    if span["a"] is None:
+        return ids
+    step = (span["z"] - span["a"]) // batches + 1
+    kept = []
+    for n in range(batches):
+        store = SeenStore(log.sparkSession, root, common.IDENTITY)
+        batch = ids.where(F.col("rid").between(span["a"] + n * step, span["a"] + (n + 1) * step - 1))
+        fresh = common.checkpoint(store.fresh(batch, "rid", F.col("lsn"), n))
+        store.remember(fresh, n)
+        kept.append(fresh.select("rid", *common.IDENTITY))
+    return reduce(DataFrame.unionByName, kept)

@@ -23,6 +23,11 @@ def p1_once(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.once(table(spark, d, "change_log")).select("rid", "s3_uri", "row_no", "op", "row_key", "row_data")
 
 
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of the same rows, with the log delivered in four batches to a stored set of identifiers that is opened anew for each."""
+    return redelivery.once_by_batches(table(spark, d, "change_log"), common.shared_dir(spark, "seen"), 4)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     found = drift.changes(table(spark, d, "change_log"), table(spark, d, "file_manifest"), table(spark, d, "staged_columns"))
     return found.drop("was")
@@ -68,5 +73,5 @@ def p6_merged(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_once, p2_found, p2_unified, p3_found, p4_found, p4_states, p5_found, p5_state, p6_found, p6_plan, p6_merged)
+    for f in (p1_found, p1_once, p1_batches, p2_found, p2_unified, p3_found, p4_found, p4_states, p5_found, p5_state, p6_found, p6_plan, p6_merged)
 }

@@ -131,6 +131,7 @@ from k where rid = keep_id group by {T}, schema_version"""
 ORACLE = {
     "p1_found": P1,
     "p1_once": P1_ONCE,
+    "p1_batches": f"with {ROWS} select min(rid) as rid, {ID} from rows_ group by {ID}",
     "p2_found": P2,
     "p2_unified": P2_UNIFIED,
     "p3_found": P3,

@@ -105,18 +105,23 @@ def test_batches_against_a_store(spark, tmp_path):
         seen |= {*ks}
 
 
-def test_a_restarted_store_knows_its_batches(spark, tmp_path):
+def test_a_restarted_store_knows_its_batches(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/seen"
-    batch = lambda ks: spark.createDataFrame([(i, k, f"{k:016X}") for i, k in enumerate(ks)], "rid bigint, k bigint, lsn string")
+    batch = lambda ks: spark.createDataFrame([(i, k, f"{k << 24:016X}") for i, k in enumerate(ks)], "rid bigint, k bigint, lsn string")
     fresh = lambda store, ks, n: store.fresh(batch(ks), "rid", F.col("lsn"), n)
-    first = redelivery.SeenStore(spark, root, ["k"])
-    assert first.batches == []
-    for n, ks in enumerate([[1, 2], [3], [4]]):
+    first = redelivery.SeenStore(spark, root, ["k"], keep=2)
+    assert first.entries() == []
+    for n, ks in enumerate([[1, 2], [3], [4], [6]]):  # merged on the way
         first.remember(fresh(first, ks, n), n)
-    (tmp_path / "seen" / "filters" / "batch=2" / "_SUCCESS").unlink()  # stopped before the last batch was stored whole
+    with monkeypatch.context() as m:  # stopped before the last batch was stored whole
+        m.setattr(first, "_index", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError, match="crash"):
+            first.remember(fresh(first, [7], 4), 4)
     second = redelivery.SeenStore(spark, root, ["k"])
-    assert second.batches == [0, 1]
-    assert sorted(r.k for r in fresh(second, [1, 3, 4, 5], 2).collect()) == [4, 5]
+    assert sorted(b for e in second.entries() for b in e["batches"]) == [0, 1, 2, 3] and len(second.entries()) <= 2
+    assert sorted(r.k for r in fresh(second, [1, 3, 4, 5, 6, 7], 4).collect()) == [5, 7]
+    plan = second.stored(second._rows(batch([1, 2]), F.col("lsn")), second.entries())._jdf.queryExecution().toString()
+    assert "PartitionFilters: [_group" in plan
 
 
 # Schemas that drift
