@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom.operators import common, ledger, mirror
-from changeloom.plans import feed, feed_sql
+from changeloom.plans import feed, feed_sql, store_sql
 from changeloom.sources import wire
+from changeloom.sources.tables import table
 from changeloom.streaming import apply, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,15 +127,14 @@ def _work_off(book: ledger.WorkLedger, items: DataFrame) -> DataFrame:
 def ledger_run(spark: SparkSession, d: str) -> DataFrame:
     """All due files through the stored ledger: one worker completes, one dies, its lease expires, another takes over and goes on to the end."""
     book = ledger.WorkLedger(spark, common.shared_dir(spark, "ledger"))
-    from changeloom.sources.tables import table
+    items = ledger.file_phases(table(spark, d, "file_manifest"), table(spark, d, "loader_checkpoint")).where("not done")
+    due = ledger.first_phase(items).select(F.lpad(F.split_part("item", F.lit("|"), F.lit(2)), 12, "0").alias("item"))
+    state = _work_off(book, due)
+    return state.select(F.col("item").cast("bigint").alias("file_id"), "state", F.col("worker").isin("a", "c").alias("by_a_live_worker"))
 
-    items = ledger.due_files(table(spark, d, "file_manifest"), table(spark, d, "loader_checkpoint"))
-    state = _work_off(book, items.select(F.lpad(F.col("file_id").cast("string"), 12, "0").alias("item")))
-    return state.select(F.col("item").cast("bigint").alias("file_id"), "state", "token", "worker")
 
-
-_TX = feed_sql.TX
 ORACLE = {
+    "cdc_ledger_run": f"select file_id, 'done' as state, true as by_a_live_worker from ({store_sql.P3})",
     "cdc_wire_roundtrip": f"""with {feed_sql.G} select event_id, op, event_id // 4 as xid, case when event_id // 4 % 3 = 0 then case when event_id % 2 = 0 then event_id // 4 else event_id // 4 * 10 + 1 end end as sub_xid,
         id, case when op <> 'd' then status end as status, case when op <> 'd' then amount end as amount, op <> 'd' and event_id % 4 = 2 as unchanged, commit_lsn from g""",
     "cdc_stream_mirror": feed_sql.ORACLE["cdc_guarded_merge"],

@@ -38,7 +38,8 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.due_files(table(spark, d, "file_manifest"), table(spark, d, "loader_checkpoint"))
+    book = ledger.WorkLedger(spark, common.shared_dir(spark, "due"))
+    return ledger.due_files(table(spark, d, "file_manifest"), table(spark, d, "loader_checkpoint"), book)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -267,7 +267,9 @@ def checkpoints(spark, rows):
     return spark.createDataFrame([(i, 1, "p", *r) for i, r in enumerate(rows)], cols)
 
 
-def test_due_files(spark):
+def test_due_files(spark, tmp_path):
+    count = iter(range(9))
+    book = lambda: ledger.WorkLedger(spark, f"file://{tmp_path}/due{next(count)}")
     from datetime import datetime as t
 
     uri = "s3://b/1/p/t/00000000000000{:02}-a.parquet"
@@ -281,10 +283,10 @@ def test_due_files(spark):
         ("t", "5", "5", "committed", t(2025, 1, 1)), ("t", "20", "10", "committed", t(2025, 1, 2)), ("t", "20", "10", "committed", t(2025, 1, 2)),
         ("t", "FF", "FF", "failed", t(2025, 2, 1)), ("t", "FF", None, None, None),
     ])
-    got = {tuple(r) for r in ledger.due_files(manifest(spark, files), runs).collect()}
+    got = {tuple(r) for r in ledger.due_files(manifest(spark, files), runs, book()).collect()}
     assert got == {(2, "transform"), (3, "append"), (4, "append"), (7, "append")}
-    assert ledger.due_files(manifest(spark, []), runs).count() == 0
-    assert ledger.due_files(manifest(spark, files), checkpoints(spark, [])).count() == 6 - 1
+    assert ledger.due_files(manifest(spark, []), runs, book()).count() == 0
+    assert ledger.due_files(manifest(spark, files), checkpoints(spark, []), book()).count() == 6 - 1
 
 
 def test_ledger_survives_failures(spark, tmp_path):
@@ -295,29 +297,59 @@ def test_ledger_survives_failures(spark, tmp_path):
     book.enqueue(items, "0")
     at = lambda m: f"2025-01-01 00:{m:02}:00"
     a = book.lease("a", "1", at(0), 60, 2)
-    assert sorted(tuple(r) for r in a.collect()) == [("i0", 1), ("i1", 1)]
-    assert sorted(tuple(r) for r in book.lease("a", "1", at(0), 60, 2).collect()) == [("i0", 1), ("i1", 1)]  # a retry leases nothing new
+    assert sorted(tuple(r) for r in a.collect()) == [("i0", 2), ("i1", 2)]  # the token is the commit's number
+    assert sorted(tuple(r) for r in book.lease("a", "1", at(0), 60, 2).collect()) == [("i0", 2), ("i1", 2)]  # a retry leases nothing new
     b = book.lease("b", "1", at(0), 60, 2)
     assert {r.item for r in b.collect()} == {"i2", "i3"}
     book.complete("a", "1", a)
     c = book.lease("c", "1", at(5), 60, 10)  # b's leases ran out
-    assert {(r.item, r.token) for r in c.collect()} == {("i2", 2), ("i3", 2), ("i4", 1), ("i5", 1)}
+    assert {(r.item, r.token) for r in c.collect()} == {("i2", 5), ("i3", 5), ("i4", 5), ("i5", 5)}
     assert {r.item for r in book.complete("b", "1", b).collect()} == {"i2", "i3"}  # stale tokens are refused
     state = {r.item: (r.state, r.worker) for r in book.state(at(5)).collect()}
     assert state["i0"] == ("done", "a") and state["i2"] == ("leased", "c")
+    book.compact()  # one commit instead of all
+    book.clean()
+    assert len(book.commits()) == 1 and {r.item: (r.state, r.worker) for r in book.state(at(5)).collect()} == state
+    assert {r.item for r in book.lease("a", "1", at(5), 60, 2).collect()} == {"i0", "i1"}  # still known after the summary
     book.complete("c", "1", c)
     assert {r.state for r in book.state(at(59)).collect()} == {"done"}
 
 
+def test_two_controllers_never_complete_an_item_twice(spark, tmp_path, monkeypatch):
+    """Both see the same state; the second one's commit comes between the first one's look and its commit."""
+    books = [ledger.WorkLedger(spark, f"file://{tmp_path}/book") for _ in range(2)]
+    books[0].enqueue(spark.createDataFrame([(f"i{n}",) for n in range(4)], "item string"), "0")
+    now, taken, claim = "2025-01-01 00:00:00", [], books[0]._claim
+
+    def race(number, entry):
+        if not taken:
+            taken.append(books[1].lease("b", "1", now, 60, 3))
+        return claim(number, entry)
+
+    with monkeypatch.context() as m:
+        m.setattr(books[0], "_claim", race)
+        mine = books[0].lease("a", "1", now, 60)
+    held = [{(r.item, r.token) for r in x.collect()} for x in (mine, taken[0])]
+    assert held[0] == {("i3", 3)} and held[1] == {("i0", 2), ("i1", 2), ("i2", 2)}
+    # Even writers that overlook each other have different tokens, so one of them is stale.
+    late = books[0].lease("c", "1", "2025-01-01 02:00:00", 60)
+    assert books[0].complete("c", "1", late).count() == 0
+    assert {r.item for r in books[1].complete("b", "1", taken[0]).collect()} == {"i0", "i1", "i2"}
+    assert {(r.state, r.worker) for r in books[0].state(now).collect()} == {("done", "c")}
+    (tmp_path / "book" / "commit-000000000099").touch()  # made but never filled: a writer died between
+    books[0].enqueue(spark.createDataFrame([("i9",)], "item string"), "1")
+    assert max(books[1].commits()) == 100 and books[1].state(now).count() == 5
+
+
 @pytest.mark.parametrize("n", [5, 130, 500])
 def test_ledger_works_off_all_items(spark, tmp_path, n):
     from changeloom.plans import live
 
     book = ledger.WorkLedger(spark, f"file://{tmp_path}/book")
     items = spark.range(n).select(F.format_string("%06d", F.col("id")).alias("item"))
-    got = {r.item: (r.state, r.token, r.worker) for r in live._work_off(book, items).collect()}
+    got = {r.item: (r.state, r.worker) for r in live._work_off(book, items).collect()}
     share = max(40, -(-n // 8))
-    want = lambda i: ("done", 1, "a") if i < share else ("done", 2, "c") if i < 2 * share else ("done", 1, "c")
+    want = lambda i: ("done", "a" if i < share else "c")
     assert got == {f"{i:06}": want(i) for i in range(n)}
 
 
