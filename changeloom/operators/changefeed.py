@@ -14,7 +14,7 @@ changes change nothing. Rows with null op, position or key are no changes; a tru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions import envelope, lsn, objects
@@ -91,47 +91,107 @@ def current_rows(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return folded.select(*KEY, "lsn")
 
 
+#: Rounds of pointer doubling after which chains of key changes end: they would have to be longer than 2^ROUNDS.
+ROUNDS = 40
+
+_MOVES = """
+SELECT DISTINCT {key}, pos, old_key, explode(unset) AS field FROM {changes}
+WHERE op = 'u' AND row_key IS NOT NULL AND old_key <> row_key AND pos IS NOT NULL AND size(unset) > 0
+"""
+
+# What happened to the keys that were left, each change under the key change that ended its span of the key's life (``until``).
+_HISTORY = """
+SELECT {k}, array_min(filter(s.ends, x -> x > e.pos)) AS until, e.pos, e.removes, e.replaces, e.sets, e.links
+FROM (
+    SELECT {key}, pos, removes, replaces, sets, CAST(null AS map<string, string>) AS links FROM {events}
+    UNION ALL
+    SELECT {key}, pos, false, false, null, map(field, old_key) FROM {moves}
+) e JOIN {left} s ON {on}
+"""
+
+_ANSWERS = """
+SELECT {key}, until, field, max_by(named_struct('pos', pos, 'value', value, 'source', source), pos) AS last
+FROM (
+    SELECT {key}, until, pos, explode(sets) AS (field, value), null AS source FROM {history} WHERE NOT removes
+    UNION ALL
+    SELECT {key}, until, pos, field, null AS value, source FROM {history} LATERAL VIEW explode(links) AS field, source
+) WHERE until IS NOT NULL GROUP BY {key}, until, field
+"""
+
+_RESETS = """
+SELECT {key}, until, max(pos) FILTER (WHERE removes) AS removed, max(pos) FILTER (WHERE replaces) AS replaced
+FROM {history} WHERE until IS NOT NULL GROUP BY {key}, until
+"""
+
+
 def _inherited(changes: DataFrame, events: DataFrame) -> DataFrame:
     """(key, pos, field, value): fields that a key change did not send, with the value they had under the old key.
 
-    Looked up as of the key change, in rounds: a value that the old key itself inherited is sought under its own old key. Positions
-    fall from round to round, so this ends; each round handles only fields still sought, and reads only their keys.
+    The life of a key that was left is cut at the key changes that left it. In each span one ``max_by`` finds the last change that set the field,
+    which counts if it came after the span's last removal and truncate and not before its last replacement. That change may itself be a
+    key change that did not send the field; such links are followed by pointer doubling, over links alone, in at most ``ROUNDS`` rounds.
     """
-    moved = changes.where("op = 'u' AND row_key IS NOT NULL AND old_key <> row_key AND pos IS NOT NULL AND size(unset) > 0")
-    moves = moved.selectExpr(*KEY, "pos", "old_key AS source", "explode(unset) AS field").distinct()
-    sought = common.checkpoint(moves.selectExpr(*TABLE, "row_key AS target", "pos AS at", "field", "source AS row_key", "pos AS before"))
-    none = "CAST(null AS string)"
-    history = [
-        events.selectExpr(*KEY, "explode(sets) AS (field, value)", "pos", f"{none} AS source", "1 AS rank"),
-        moves.selectExpr(*KEY, "field", f"{none} AS value", "pos", "source", "1 AS rank"),
-    ]
-    resets = events.where("removes OR replaces").selectExpr(*KEY, "pos")
-    truncates = changes.where("op = 't' AND pos IS NOT NULL").select(*TABLE, "pos").distinct()
-    found = events.selectExpr(*KEY, "pos", f"{none} AS field", f"{none} AS value").where("false")
-    w = Window.partitionBy(*KEY, "field").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("rank") >= 0, F.struct("pos", "rank", "value", "source")), ignorenulls=True).over(w)
-    while not sought.isEmpty():
-        asked = common.broadcast_if_small(sought.select(*KEY, "field").distinct()).alias("b")
-        per_field = [h.alias("a").join(asked, common.same([*KEY, "field"]), "left_semi") for h in history]
-        reset = resets.alias("a").join(asked, common.same(KEY)).select("b.*", "a.pos")
-        wiped = truncates.alias("a").join(asked, common.same(TABLE)).select("b.*", "a.pos")
-        blank = [r.selectExpr("*", f"{none} AS value", f"{none} AS source", "0 AS rank") for r in (reset, wiped)]
-        marks = sought.selectExpr(*KEY, "field", "before AS pos", "-1 AS rank", "target", "at")
-        rows = marks
-        for r in (*per_field, *blank):
-            rows = rows.unionByName(r, allowMissingColumns=True)
-        answers = common.checkpoint(rows.withColumn("f", last).where("rank = -1").select(*TABLE, "target", "at", "field", "f"))
-        got = answers.where("f.rank = 1 AND f.source IS NULL")
-        found = found.unionByName(got.selectExpr(*TABLE, "target AS row_key", "at AS pos", "field", "f.value"))
-        sought = answers.where("f.source IS NOT NULL").selectExpr(*TABLE, "target", "at", "field", "f.source AS row_key", "f.pos AS before")
-    return found.select(*KEY, "pos", "field", "value")
+    spark, key = changes.sparkSession, ", ".join(KEY)
+    moves = common.checkpoint(spark.sql(_MOVES.format(key=key, changes="{changes}"), changes=changes))
+    none = events.selectExpr(*KEY, "pos", "'' AS field", "'' AS value").where("false")
+    if moves.isEmpty():
+        return none
+    table = ", ".join(TABLE)
+    left = common.broadcast_if_light(common.checkpoint(
+        spark.sql(f"SELECT {table}, old_key AS row_key, array_distinct(collect_list(pos)) AS ends FROM {{moves}} GROUP BY {table}, old_key", moves=moves)
+    ))
+    on = lambda a, b, cols: " AND ".join(f"{a}.{c} <=> {b}.{c}" for c in cols)
+    history = common.checkpoint(
+        spark.sql(
+            _HISTORY.format(key=key, k=", ".join(f"e.{c}" for c in KEY), on=on("e", "s", KEY), events="{events}", moves="{moves}", left="{left}"),
+            events=events, moves=moves, left=left,
+        )
+    )
+    last = spark.sql(_ANSWERS.format(key=key, history="{history}"), history=history)
+    resets = spark.sql(_RESETS.format(key=key, history="{history}"), history=history)
+    wiped = spark.sql(
+        f"SELECT {table}, array_distinct(collect_list(pos)) AS wiped FROM {{changes}} WHERE op = 't' AND pos IS NOT NULL GROUP BY {table}", changes=changes
+    )
+    nodes = common.checkpoint(
+        spark.sql(
+            f"""SELECT m.*, if(l.last.pos >= coalesce(r.replaced, '') AND l.last.pos > coalesce(r.removed, '')
+                              AND NOT exists(coalesce(w.wiped, array()), x -> x >= l.last.pos AND x < m.pos), l.last, null) AS last
+                FROM {{moves}} m
+                LEFT JOIN {{last}} l ON {on("m", "l", TABLE)} AND m.old_key <=> l.row_key AND m.pos = l.until AND m.field = l.field
+                LEFT JOIN {{resets}} r ON {on("m", "r", TABLE)} AND m.old_key <=> r.row_key AND m.pos = r.until
+                LEFT JOIN {{wiped}} w ON {on("m", "w", TABLE)}""",
+            moves=moves, last=last, resets=resets, wiped=common.broadcast_if_light(wiped),
+        )
+    )
+    # A link leads to the key change that made the row under the old key, at the position of ``last``.
+    state = nodes.selectExpr(*KEY, "pos", "field", "last.value AS value", "last IS NOT NULL AND last.source IS NULL AS found",
+                             "if(last.source IS NULL, null, old_key) AS to_key", "if(last.source IS NULL, null, last.pos) AS to_pos")
+    for _ in range(ROUNDS):
+        if state.where("to_key IS NOT NULL").isEmpty():
+            break
+        state = common.checkpoint(
+            spark.sql(
+                f"""SELECT {", ".join(f"a.{c}" for c in KEY)}, a.pos, a.field, if(a.to_key IS NULL, a.value, b.value) AS value,
+                           if(a.to_key IS NULL, a.found, coalesce(b.found, false)) AS found, b.to_key, b.to_pos
+                    FROM {{state}} a LEFT JOIN {{state}} b
+                    ON {on("a", "b", TABLE)} AND a.to_key = b.row_key AND a.to_pos = b.pos AND a.field = b.field""",
+                state=state,
+            )
+        )
+    return state.where("found").select(*KEY, "pos", "field", "value")
+
+
+def _first_wins(entries: str) -> Column:
+    """Map of the entries (k, v) of an array column; of equal keys, which are spellings of one name, the first counts."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
 
 
 def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     """``row_fields`` and ``unset`` under the names of the newest version, without fields that it lacks.
 
     A field that no footer of its version has was never removed: it stays under its own name, trimmed and in lower case, unless
-    a field of that name lives on.
+    a field of that name lives on. Of two spellings of one name in a row the first counts.
     """
     a, b = changes.alias("a"), common.broadcast_if_light(names.select(*TABLE, "schema_version", "living")).alias("b")
     joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.living")
@@ -144,7 +204,7 @@ def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     unset = F.transform("unset", lambda k: F.when(known(k), F.try_element_at("living", plain(k))).otherwise(plain(k)))
     named = joined.withColumn("entries", F.concat(F.filter(listed, lambda e: e["k"].isNotNull()), others))
     return named.withColumns(
-        {"row_fields": F.when(F.col("row_fields").isNotNull(), drift._merged("entries")), "unset": F.array_distinct(F.array_compact(unset))}
+        {"row_fields": F.when(F.col("row_fields").isNotNull(), _first_wins("entries")), "unset": F.array_distinct(F.array_compact(unset))}
     ).drop("living", "entries")
 
 

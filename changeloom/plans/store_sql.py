@@ -119,6 +119,39 @@ _EVENTS = f"""{ROWS}, {FILES},
  win as (select * from e qualify row_number() over (partition by {T}, row_key order by pos desc, live) = 1)"""
 P5 = f"""with {_EVENTS} select {T}, row_key, lsn from win left join cut using ({T}) where live and pos > coalesce(cut, '')"""
 
+_KEY = "epoch, source_schema, source_table, row_key"
+_ROW = "(x.epoch, x.source_schema, x.source_table, x.row_key)"
+P5_STATE = f"""with recursive {_FATE},
+ c as (select r.* exclude (commit_lsn), case when f.kind = 'spill' then f.lsn_end else r.commit_lsn end || r.lsn as pos from rows_ r left join files f using (object)),
+ living as (select {T}, sv, k, case when until is null then name end as name from final),
+ given as (select c.*, j.key as raw, j.value ->> '$' as v from c, lateral json_each(c.row_data) j where op in ('i', 'u')),
+ put as (select g.{_KEY.replace(", ", ", g.")}, g.pos, g.lsn, case when l.k is null then lower(trim(raw)) else l.name end as field, v, l.k is not null as known
+   from given g left join living l on (l.epoch, l.source_schema, l.source_table, l.sv, l.k) = (g.epoch, g.source_schema, g.source_table, g.schema_version, lower(trim(raw)))),
+ toast as (select c.{_KEY.replace(", ", ", c.")}, c.pos, c.old_key, c.op, case when l.k is null then lower(trim(u.f)) else l.name end as field
+   from c, lateral (select unnest(from_json(sink_meta -> 'unchanged_toast', '["varchar"]')) as f) u
+   left join living l on (l.epoch, l.source_schema, l.source_table, l.sv, l.k) = (c.epoch, c.source_schema, c.source_table, c.schema_version, lower(trim(u.f)))),
+ own as (select distinct {_KEY}, pos, field, arg_max(v, known) over (partition by {_KEY}, pos, field) as v from put
+   where field is not null and not exists (select 1 from toast t where (t.epoch, t.source_schema, t.source_table, t.row_key, t.pos, t.field) = (put.epoch, put.source_schema, put.source_table, put.row_key, put.pos, put.field))),
+ move as (select distinct {_KEY}, pos, old_key, field from toast where op = 'u' and old_key <> row_key and field is not null),
+ ev as (select {_KEY}, pos, lsn, op = 'd' as gone, op = 'i' or coalesce(old_key <> row_key, false) as anew from c where op in ('i', 'u', 'd') and row_key is not null
+   union all select {T}, old_key, pos, lsn, true, false from c where op = 'u' and old_key <> row_key),
+ chase as (select {_KEY}, pos, field, old_key as at_key, pos as before, cast(null as varchar) as v, 0 as state from move
+   union all select h.{_KEY.replace(", ", ", h.")}, h.pos, h.field, coalesce(hit.old_key, h.at_key), coalesce(hit.pos, h.before), hit.v, case when hit.pos is null then 2 when hit.old_key is null then 1 else 0 end
+   from chase h left join lateral (select x.pos, x.v, x.old_key from (select {_KEY}, pos, field, v, null as old_key from own union all select {_KEY}, pos, field, null, old_key from move) x
+     where {_ROW} = (h.epoch, h.source_schema, h.source_table, h.at_key) and x.field = h.field and x.pos < h.before
+       and not exists (select 1 from ev z where (z.epoch, z.source_schema, z.source_table, z.row_key) = (h.epoch, h.source_schema, h.source_table, h.at_key) and z.pos < h.before and (z.gone and z.pos >= x.pos or z.anew and z.pos > x.pos))
+       and not exists (select 1 from c y where y.op = 't' and (y.epoch, y.source_schema, y.source_table) = (h.epoch, h.source_schema, h.source_table) and y.pos >= x.pos and y.pos < h.before)
+     order by x.pos desc limit 1) hit on true
+   where h.state = 0),
+ sets as (select {_KEY}, pos, field, v from own union all select {_KEY}, pos, field, v from chase where state = 1),
+ life as (select {_KEY}, max(pos) filter (where not gone) as set_pos, max(pos) filter (where gone) as gone_pos, max(pos) filter (where anew and not gone) as anew_pos,
+   arg_max(lsn, pos) filter (where not gone) as lsn from ev group by {_KEY}),
+ cut as (select {T}, max(pos) as cut from c where op = 't' group by {T}),
+ live as (select l.*, greatest(coalesce(gone_pos, ''), coalesce(cut, '')) as dead from life l left join cut using ({T}) where set_pos > greatest(coalesce(gone_pos, ''), coalesce(cut, ''))),
+ lasts as (select {_KEY}, field, max(pos) as pos, arg_max(v, pos) as v, arg_max(v is null, pos) as is_null from sets group by {_KEY}, field)
+select l.{_KEY.replace(", ", ", l.")}, lsn, s.field, case when not s.is_null then s.v end as field_value
+from live l left join lasts s on (s.epoch, s.source_schema, s.source_table, s.row_key) = (l.epoch, l.source_schema, l.source_table, l.row_key) and s.pos >= coalesce(anew_pos, '') and s.pos > dead"""
+
 P6 = f"""with {ROWS}, {FILES}, n as (select object, count(*) as n from (select distinct object, {ID} from rows_) group by object)
 select file_id from files left join n using (object) where coalesce(n, 0) < 40"""
 P6_MERGED = f"""with {ROWS}, k as (select *, min(rid) over (partition by {ID}) as keep_id from rows_)
@@ -138,6 +171,7 @@ ORACLE = {
     "p4_found": P4,
     "p4_states": P4_STATES,
     "p5_found": P5,
+    "p5_state": P5_STATE,
     "p6_found": P6,
     "p6_plan": P6_PLAN,
     "p6_merged": P6_MERGED,

@@ -469,6 +469,30 @@ def test_random_feeds_converge(spark):
     assert found(spark, rows + rnd.sample(rows, 100)) == live and n > 500
 
 
+def test_random_feeds_with_key_changes_against_a_replay(spark):
+    """Chains of key changes, truncates and unsent values, in random order of arrival and with repeats."""
+    rnd = random.Random(9)
+    rows, live = [], {}
+    for i in range(1, 500):
+        op, key = rnd.choices("iudt", [3, 7, 1, 0.04])[0], f"k{rnd.randrange(8)}"
+        if op == "t":
+            rows.append(change(i, None, i, "t"))
+            live = {}
+            continue
+        old = f"k{rnd.randrange(8)}" if op == "u" and rnd.random() < 0.5 else None
+        unset = [f for f in "ab" if op == "u" and rnd.random() < 0.5]
+        data = {f: None if f in unset else f"{f}{i}" for f in "ab"}
+        rows.append(change(i, key, i, op, old=old, data=data, unset=unset))
+        if op == "d":
+            live.pop(key, None)
+            continue
+        before = live.pop(old, {}) if old and old != key else live.get(key, {}) if op == "u" else {}
+        live[key] = {f: before[f] if f in unset else v for f, v in data.items() if f not in unset or f in before}
+    rnd.shuffle(rows)
+    got = {r.row_key: r.fields for r in changefeed.current_fields(log(spark, rows + rnd.sample(rows, 60)), manifest(spark, [])).collect()}
+    assert got == live and len(live) > 3
+
+
 # Far too many small files
 
 
