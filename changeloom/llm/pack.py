@@ -8,7 +8,7 @@
    whole items. Rounds go on until one chunk has held all that was left, or a round joins less than one container in ``STALL``: then no
    pieces fit together any more, and the rest is emitted as it is.
 
-A task holds at most one chunk. Each round is checkpointed, so a lost executor repeats one round. A container lists its
+A task holds at most one chunk, whose containers and members are both bounded. Each round is checkpointed, so a lost executor repeats one round. A container lists its
 members (at most ``capacity``, as each has a token). Texts without tokens need no space: they come out with a null container. A
 null text counts as empty. Repeated rows are packed as often as they occur.
 """
@@ -27,7 +27,8 @@ from changeloom.llm import bpe
 from changeloom.operators import common
 
 CAPACITY = 2048
-CHUNK = 200_000
+#: Containers, and members of containers, that a task holds at once; one of them full ends a chunk.
+CHUNK, MEMBERS_AT_ONCE = 200_000, 2_000_000
 FAN_IN = 8
 STALL = 200
 
@@ -79,10 +80,21 @@ def _pack(members: pa.ListArray, sizes: np.ndarray, capacity: int, slack: int, l
     return pa.RecordBatch.from_arrays([made, pa.array(filled), pa.array(closed)], names=["members", "size", "closed"])
 
 
+def _slices(sizes: np.ndarray, rows: int, members: int) -> list[tuple[int, int]]:
+    """Consecutive spans of at most so many containers and members; a container by itself may exceed the latter."""
+    ends, out, lo = np.cumsum(sizes), [], 0
+    while lo < len(sizes):
+        before = ends[lo - 1] if lo else 0
+        hi = min(max(int(np.searchsorted(ends, before + members, side="right")), lo + 1), lo + rows)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def _round(items: DataFrame, capacity: int, slack: int, chunk: int, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = inside = 0
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -94,13 +106,14 @@ def _round(items: DataFrame, capacity: int, slack: int, chunk: int, last: bool)
             return _pack(members, table.column("size").to_numpy(), capacity, slack, last)
 
         for b in batches:
-            for at in range(0, b.num_rows, chunk):
-                part = b.slice(at, chunk)
-                if rows and rows + part.num_rows > chunk:
+            sizes = np.diff(b.column(0).offsets.to_numpy())
+            for lo, hi in _slices(sizes, chunk, MEMBERS_AT_ONCE):
+                n = int(sizes[lo:hi].sum())
+                if rows and (rows + hi - lo > chunk or inside + n > MEMBERS_AT_ONCE):
                     yield flush()
-                    rows = 0
-                held.append(part)
-                rows += part.num_rows
+                    rows = inside = 0
+                held.append(b.slice(lo, hi - lo))
+                rows, inside = rows + hi - lo, inside + n
         if rows:
             yield flush()
 

@@ -96,6 +96,12 @@ def test_best_fit_takes_the_fullest():
 
 
 @needs_vocabulary
+def test_chunks_are_bounded_by_members_too():
+    sizes = np.array([1, 5, 3, 9, 1, 1, 1, 20, 2])
+    spans = pack._slices(sizes, 3, 8)
+    assert spans == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8), (8, 9)] and pack._slices(sizes[:0], 3, 8) == []
+
+
 def test_documents_are_split_only_when_too_long(spark):
     texts = [None, "", "one line", "word " * 5000, "word " * 2048, "word " * 2047]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").withColumn("fill", F.lit("clash"))
