@@ -112,9 +112,27 @@ def timetz(c: Column | str, strict: bool = False) -> Column:
     return _checked(s, s.rlike(form), value, "timetz", strict)
 
 
+#: The default output form, and its parts in one text; other forms are left as they are by the replacement.
+_INTERVAL = r"^(?:([+-]?\d+) years? ?)?(?:([+-]?\d+) mons? ?)?(?:([+-]?\d+) days? ?)?(?:([+-]?)(\d+):(\d{2})(?::(\d{2})(?:\.(\d{1,6})\d*)?)?)?$"
+_PARTS = "=,$1,$2,$3,$4,$5,$6,$7,$8"
+
+
 def interval(c: Column | str, strict: bool = False) -> Column:
-    """struct(months, days, micros) of the verbose and the default output form, with ``@`` and ``ago``."""
+    """struct(months, days, micros) of the verbose and the default output form, with ``@`` and ``ago``.
+
+    The default form is taken apart by one regular expression; only texts of another form go the longer way.
+    """
     s = _c(c)
+    parts = F.split(F.regexp_replace(s, _INTERVAL, _PARTS), ",")
+    num = lambda i, kind="bigint": F.when(F.get(parts, F.lit(i)) == "", 0).otherwise(F.get(parts, F.lit(i)).try_cast(kind))
+    clock = ((num(5) * 60 + num(6)) * 60 + num(7)) * 1_000_000 + F.rpad(F.get(parts, F.lit(8)), 6, "0").try_cast("bigint")
+    micros = F.when(F.get(parts, F.lit(4)) == "-", -clock).otherwise(clock)
+    short = F.struct((num(1) * 12 + num(2)).cast("int").alias("months"), num(3, "int").alias("days"), micros.alias("micros"))
+    value = F.when((F.get(parts, F.lit(0)) == "=") & (F.trim(s) != ""), short).otherwise(_verbose_interval(s))
+    return _checked(s, value.isNotNull(), value, "interval", strict)
+
+
+def _verbose_interval(s: Column) -> Column:
     form = rf"^(?:[+-]?\d+(?:\.\d+)? [a-z]+\s*)*(?:{_CLOCK})?$"
 
     def parts(body: Column, sign: Column) -> Column:
@@ -134,8 +152,7 @@ def interval(c: Column | str, strict: bool = False) -> Column:
     # The stripped text is bound once by a lambda; written out it would be evaluated in every part.
     body = F.trim(F.regexp_replace(F.regexp_replace(s, r"^@\s*", ""), r"\s+ago$", ""))
     sign = F.when(s.rlike(r"\sago$"), -1).otherwise(1)
-    value = F.get(F.transform(F.array(F.struct(body.alias("b"), sign.alias("s"))), lambda x: parts(x["b"], x["s"])), F.lit(0))
-    return _checked(s, value.isNotNull(), value, "interval", strict)
+    return F.get(F.transform(F.array(F.struct(body.alias("b"), sign.alias("s"))), lambda x: parts(x["b"], x["s"])), F.lit(0))
 
 
 def _unquoted(b: Column) -> Column:
@@ -248,3 +265,46 @@ def length_typmod(typmod: Column | str) -> Column:
 def bit_typmod(typmod: Column | str) -> Column:
     m = _c(typmod)
     return F.when(m >= 0, m)
+
+
+def interval_text(months: Column | str, days: Column | str, micros: Column | str) -> Column:
+    """An interval of three stored parts in the source's default output form; null if any part is null. Zero is ``00:00:00``."""
+    m, d, u = (_c(x).cast("bigint") for x in (months, days, micros))
+    years, rest = ((m - m % 12) / 12).cast("bigint"), m % 12
+    unit = lambda n, one, many: F.when(n != 0, F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many)))
+    clock = F.when((u != 0) | ((m == 0) & (d == 0)), _clock_text(u))
+    return F.when(m.isNotNull() & d.isNotNull() & u.isNotNull(), F.concat_ws(" ", unit(years, "year", "years"), unit(rest, "mon", "mons"), unit(d, "day", "days"), clock))
+
+
+def _clock_text(u: Column) -> Column:
+    a = F.abs(u)
+    second = F.floor(a / 1_000_000)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours = F.floor(second / 3600)
+    fraction = F.rtrim(F.lpad((a % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
+    head = F.concat(F.when(u < 0, "-").otherwise(""), F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(F.floor(second / 60) % 60), F.lit(":"), two(second % 60))
+    return F.concat(head, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+
+
+def timetz_text(micros: Column | str, offset_seconds: Column | str) -> Column:
+    """A time with zone of two stored parts in the source's output form; null if either is null."""
+    o = _c(offset_seconds)
+    a = F.abs(o)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    minute = F.when(a % 3600 == 0, "").otherwise(F.concat(F.lit(":"), two(F.floor(a / 60) % 60)))
+    return F.concat(_clock_text(_c(micros)), F.when(o < 0, "-").otherwise("+"), two(F.floor(a / 3600)), minute)
+
+
+#: Microseconds from 1970-01-01 to 2000-01-01, from which times on the wire count.
+WIRE_EPOCH = 946_684_800_000_000
+#: Times that a timestamp can hold, in microseconds since 1970: years 1 to 9999.
+_FIRST, _LAST = -62_135_596_800_000_000, 253_402_300_799_999_999
+
+
+def wire_time(micros: Column | str, strict: bool = False) -> Column:
+    """Timestamp of microseconds since 2000-01-01 UTC; null, or an error with ``strict``, outside the years 1 to 9999."""
+    m = _c(micros).cast("bigint")
+    ok = m.between(_FIRST - WIRE_EPOCH, _LAST - WIRE_EPOCH)
+    value = F.timestamp_micros(F.when(ok, m + WIRE_EPOCH))
+    bad = F.raise_error(F.concat(F.lit("not a time: "), m.cast("string"))) if strict else F.lit(None)
+    return F.when(m.isNull(), None).when(ok, value).otherwise(bad)

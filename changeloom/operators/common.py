@@ -39,9 +39,14 @@ def broadcast_if_light(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a local folder is used.
+    Only on a local master (tests, local runs) it may be absent, and then a local folder is used; on a cluster that raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/changeloom-{spark.sparkContext.applicationId}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file:///tmp/changeloom-{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -166,13 +166,15 @@ def rebuild(
 def key_changes(log: DataFrame, keys: list[str], old_keys: list[str]) -> DataFrame:
     """The log with a delete of the old key for every update that changed it, at the update's own position.
 
-    ``old_keys`` are columns with the key before, null where it did not change; they are dropped. A key changed back to itself is a plain update.
+    ``old_keys`` are columns with the key before, null where it did not change; they are dropped. Like any delete, it has no values. A key changed back to itself is a plain update.
     """
     moved = F.lit(False)
     for k, o in zip(keys, old_keys, strict=True):
         moved = moved | (F.col(o).isNotNull() & ~F.col(o).eqNullSafe(F.col(k)))
     left = log.where((F.col("op") == "u") & moved)
-    gone = left.withColumns({k: F.coalesce(o, k) for k, o in zip(keys, old_keys, strict=True)} | {"op": F.lit("d")})
+    fields = {f.name: f.dataType for f in log.schema.fields}
+    blank = {c: F.lit(None).cast(t) for c, t in fields.items() if c not in (*keys, *old_keys, *POSITION, "op")}
+    gone = left.withColumns(blank | {k: F.coalesce(o, k) for k, o in zip(keys, old_keys, strict=True)} | {"op": F.lit("d")})
     return log.unionByName(gone).drop(*old_keys)
 
 

@@ -33,13 +33,17 @@ CREATE TABLE IF NOT EXISTS schema_version (
   PRIMARY KEY (epoch, source_schema, source_table, version));
 CREATE TABLE IF NOT EXISTS ddl (id INTEGER PRIMARY KEY AUTOINCREMENT, epoch INTEGER NOT NULL, lsn TEXT NOT NULL, tag TEXT NOT NULL, object TEXT NOT NULL,
   done INTEGER NOT NULL DEFAULT 0, UNIQUE (epoch, lsn, object));
+CREATE TABLE IF NOT EXISTS slot (name TEXT PRIMARY KEY, confirmed TEXT NOT NULL);
+CREATE TABLE IF NOT EXISTS comment (
+  epoch INTEGER NOT NULL, source_schema TEXT NOT NULL, source_table TEXT NOT NULL, column_name TEXT NOT NULL DEFAULT '', text TEXT,
+  PRIMARY KEY (epoch, source_schema, source_table, column_name));
 CREATE TABLE IF NOT EXISTS ownership (
   name TEXT PRIMARY KEY, owner TEXT NOT NULL, token INTEGER NOT NULL, until REAL NOT NULL);
 CREATE TABLE IF NOT EXISTS reload (
   id INTEGER PRIMARY KEY AUTOINCREMENT, epoch INTEGER NOT NULL, source_schema TEXT NOT NULL, source_table TEXT NOT NULL,
   mode TEXT NOT NULL CHECK (mode IN ('reload', 'resync')), restarts INTEGER NOT NULL DEFAULT 0,
   state TEXT NOT NULL DEFAULT 'requested' CHECK (state IN ('requested', 'exporting', 'export_complete', 'complete', 'failed')),
-  cursor TEXT, final_lsn TEXT, reason TEXT);
+  chunk INTEGER NOT NULL DEFAULT 0, cursor TEXT, first_lsn TEXT, final_lsn TEXT, schema_version INTEGER, holder TEXT, until REAL, reason TEXT);
 CREATE UNIQUE INDEX IF NOT EXISTS reload_live ON reload (epoch, source_schema, source_table) WHERE state NOT IN ('complete', 'failed');
 """
 
@@ -90,6 +94,43 @@ class ControlStore:
             db.execute("INSERT INTO epoch VALUES (?, ?)", (n, time.time()))
             return n
 
+    def retire_epochs(self, before: int) -> int:
+        """Forgets queue, watermarks, versions, events and reloads of all epochs before one; returns how many files were queued."""
+        with self.transaction() as db:
+            n = db.execute("DELETE FROM file WHERE epoch < ?", (before,)).rowcount
+            for name in ("watermark", "schema_version", "ddl", "reload"):
+                db.execute(f"DELETE FROM {name} WHERE epoch < ?", (before,))  # noqa: S608
+            return n
+
+    def retire_table(self, epoch: int, schema: str, table: str) -> None:
+        """Forgets a table that was dropped at the source; its history of versions stays."""
+        with self.transaction() as db:
+            for name in ("file", "watermark"):
+                db.execute(f"DELETE FROM {name} WHERE epoch = ? AND source_schema = ? AND source_table = ?", (epoch, schema, table))  # noqa: S608
+            db.execute("UPDATE reload SET state = 'failed', reason = 'table dropped' WHERE epoch = ? AND source_schema = ? AND source_table = ? "
+                       "AND state NOT IN ('complete', 'failed')", (epoch, schema, table))
+
+    def rename_table(self, epoch: int, schema: str, table: str, new: str) -> None:
+        """Moves all that is known of a table to its new name, in one transaction."""
+        with self.transaction() as db:
+            for name in ("file", "watermark", "schema_version", "reload"):
+                db.execute(f"UPDATE {name} SET source_table = ? WHERE epoch = ? AND source_schema = ? AND source_table = ?", (new, epoch, schema, table))  # noqa: S608
+
+    def verify_or_create(self, name: str, position: str) -> tuple[bool, str]:
+        """(created, position): where the stream of that name goes on, or where it begins, if it is new."""
+        with self.transaction() as db:
+            row = db.execute("SELECT confirmed FROM slot WHERE name = ?", (name,)).fetchone()
+            if row:
+                return False, row[0]
+            db.execute("INSERT INTO slot VALUES (?, ?)", (name, position))
+            return True, position
+
+    def confirm(self, name: str, position: str) -> str:
+        """Advances a stream's confirmed position, never back; returns it."""
+        with self.transaction() as db:
+            db.execute("UPDATE slot SET confirmed = max(confirmed, ?) WHERE name = ?", (position, name))
+            return db.execute("SELECT confirmed FROM slot WHERE name = ?", (name,)).fetchone()[0]
+
     # Files
 
     def add_ready(self, epoch: int, schema: str, table: str, uri: str, kind: str, rows: int, start: str, end: str, version: int, reload_id: int | None = None) -> int:
@@ -179,6 +220,14 @@ class ControlStore:
     def pending_ddl(self, epoch: int) -> list[tuple[int, str, str, str]]:
         return self.db.execute("SELECT id, lsn, tag, object FROM ddl WHERE epoch = ? AND NOT done ORDER BY lsn, id", (epoch,)).fetchall()
 
+    def set_comment(self, epoch: int, schema: str, table: str, text: str | None, column: str = "") -> None:
+        """Comment of a table or column; it belongs to the mirror alone and changes no version. None removes it."""
+        with self.transaction() as db:
+            if text is None:
+                db.execute("DELETE FROM comment WHERE epoch = ? AND source_schema = ? AND source_table = ? AND column_name = ?", (epoch, schema, table, column))
+            else:
+                db.execute("INSERT OR REPLACE INTO comment VALUES (?, ?, ?, ?, ?)", (epoch, schema, table, column, text))
+
     # Ownership
 
     def acquire(self, name: str, owner: str, seconds: float, now: float | None = None) -> int | None:
@@ -207,13 +256,59 @@ class ControlStore:
         with self.transaction() as db:
             return db.execute("INSERT INTO reload (epoch, source_schema, source_table, mode) VALUES (?, ?, ?, ?)", (epoch, schema, table, mode)).lastrowid
 
-    def claim_reload(self, epoch: int) -> int | None:
+    def claim_reload(self, epoch: int, holder: str | None = None, seconds: float = 60, now: float | None = None) -> int | None:
+        """The oldest requested reload, which then exports under the holder's lease."""
+        now = time.time() if now is None else now
         with self.transaction() as db:
             row = db.execute("SELECT min(id) FROM reload WHERE epoch = ? AND state = 'requested'", (epoch,)).fetchone()
             if row[0] is not None:
-                db.execute("UPDATE reload SET state = 'exporting' WHERE id = ?", (row[0],))
+                db.execute("UPDATE reload SET state = 'exporting', holder = ?, until = ? WHERE id = ?", (holder, now + seconds if holder else None, row[0]))
             return row[0]
 
+    def renew_reload(self, reload_id: int, holder: str, seconds: float, now: float | None = None) -> bool:
+        """Prolongs an export's lease; False if it has gone to another holder or the export has ended."""
+        now = time.time() if now is None else now
+        with self.transaction() as db:
+            return db.execute("UPDATE reload SET until = ? WHERE id = ? AND holder = ? AND state = 'exporting'", (now + seconds, reload_id, holder)).rowcount == 1
+
+    def adopt_reloads(self, epoch: int, holder: str, seconds: float, limit: int = 8, now: float | None = None) -> list[int]:
+        """Exports that this holder may go on with: its own from before a restart, and those whose lease has run out."""
+        now = time.time() if now is None else now
+        with self.transaction() as db:
+            ids = [r[0] for r in db.execute(
+                "SELECT id FROM reload WHERE epoch = ? AND state = 'exporting' AND (holder = ? OR until < ?) ORDER BY id LIMIT ?", (epoch, holder, now, limit)
+            )]
+            db.executemany("UPDATE reload SET holder = ?, until = ? WHERE id = ?", [(holder, now + seconds, i) for i in ids])
+            return ids
+
+    def stuck_reloads(self, epoch: int, now: float | None = None) -> list[int]:
+        """Exports whose lease has run out and that nobody adopted."""
+        now = time.time() if now is None else now
+        return [r[0] for r in self.db.execute("SELECT id FROM reload WHERE epoch = ? AND state = 'exporting' AND until < ? ORDER BY id", (epoch, now))]
+
+    def fail_reload(self, reload_id: int, reason: str) -> int:
+        """Gives an export up and takes its files out of the queue; returns how many."""
+        with self.transaction() as db:
+            db.execute("UPDATE reload SET state = 'failed', reason = ? WHERE id = ? AND state IN ('requested', 'exporting', 'export_complete')", (reason, reload_id))
+            return db.execute("DELETE FROM file WHERE reload_id = ?", (reload_id,)).rowcount
+
+    def advance_reload(self, reload_id: int, chunk: int, cursor: str, lsn: str, version: int) -> bool:
+        """Moves an export to its next chunk: only from the one before, and only under the schema version it began with."""
+        with self.transaction() as db:
+            return db.execute(
+                "UPDATE reload SET chunk = ?, cursor = ?, first_lsn = coalesce(first_lsn, ?), schema_version = coalesce(schema_version, ?) "
+                "WHERE id = ? AND state = 'exporting' AND chunk = ? AND (schema_version IS NULL OR schema_version = ?)",
+                (chunk, cursor, lsn, version, reload_id, chunk - 1, version),
+            ).rowcount == 1
+
+    def reload_floor(self, epoch: int, schema: str, table: str) -> str | None:
+        """First position of the newest live reload of a table."""
+        row = self.db.execute(
+            "SELECT first_lsn FROM reload WHERE epoch = ? AND source_schema = ? AND source_table = ? AND mode = 'reload' "
+            "AND state IN ('requested', 'exporting', 'export_complete') AND first_lsn IS NOT NULL ORDER BY id DESC LIMIT 1", (epoch, schema, table),
+        ).fetchone()
+        return row and row[0]
+
     def reload_chunk(self, reload_id: int, cursor: str, **file) -> int:
         """Registers a chunk and moves the cursor past it, in one transaction, so no chunk is skipped or repeated."""
         with self.transaction() as db:

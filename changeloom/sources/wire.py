@@ -8,11 +8,12 @@ starts with the state its predecessors leave. The log is thus decoded in paralle
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,21 +198,118 @@ ROW = (
 )
 
 
-def _cells(values: list[tuple[str, Any]] | None):
-    if values is None:
-        return None
-    return [{"kind": k, "value": v if k == TEXT else None, "bytes": v if k == BINARY else None} for k, v in values]
+_SHORT, _INT, _UINT = struct.Struct(">h"), struct.Struct(">i"), struct.Struct(">I")
 
 
-def _as_row(frame_no: int, frame_lsn: str, m: dict[str, Any]) -> tuple:
-    import json
+class _Cells:
+    """Rows of cells as flat columns: kinds, texts, bytes and where each row ends; a row that is None is null."""
 
-    relation = json.dumps({k: m[k] for k in ("rel", "schema", "name", "identity", "columns")}) if m["tag"] == "R" else None
-    return (
-        frame_no, frame_lsn, m["tag"], m.get("xid"), m.get("sub_xid"), m.get("rel"), m.get("rels"),
-        m.get("commit_lsn") or m.get("final_lsn"), m.get("time"), _cells(m.get("new")), _cells(m.get("key", m.get("old"))),
-        "key" in m if ("key" in m or "old" in m) else None, relation,
-    )
+    def __init__(self):
+        self.kinds, self.texts, self.raws, self.ends, self.valid = [], [], [], [0], []
+
+    def none(self) -> None:
+        self.ends.append(len(self.kinds))
+        self.valid.append(False)
+
+    def add(self, values: list[tuple[str, Any]] | None) -> None:
+        if values is None:
+            return self.none()
+        for kind, v in values:
+            self.kinds.append(kind)
+            self.texts.append(v if kind == TEXT else None)
+            self.raws.append(v if kind == BINARY else None)
+        self.ends.append(len(self.kinds))
+        self.valid.append(True)
+        return None
+
+    def read(self, p: bytes, at: int) -> int:
+        """A row straight from a payload; returns where it ends."""
+        kinds, texts, raws = self.kinds, self.texts, self.raws
+        (n,) = _SHORT.unpack_from(p, at)
+        at += 2
+        for _ in range(n):
+            kind = p[at]
+            at += 1
+            if kind == 116:  # t
+                end = at + 4 + _INT.unpack_from(p, at)[0]
+                if end > len(p) or end < at + 4:
+                    raise Malformed("value that ends early")
+                kinds.append(TEXT), texts.append(p[at + 4 : end].decode()), raws.append(None)
+                at = end
+            elif kind in (110, 117):  # n, u
+                kinds.append(chr(kind)), texts.append(None), raws.append(None)
+            elif kind == 98:  # b
+                end = at + 4 + _INT.unpack_from(p, at)[0]
+                if end > len(p) or end < at + 4:
+                    raise Malformed("value that ends early")
+                kinds.append(BINARY), texts.append(None), raws.append(p[at + 4 : end])
+                at = end
+            else:
+                raise Malformed(f"value of kind {chr(kind)!r}")
+        self.ends.append(len(kinds))
+        self.valid.append(True)
+        return at
+
+    def array(self) -> pa.ListArray:
+        cells = pa.StructArray.from_arrays(
+            [pa.array(self.kinds, pa.string()), pa.array(self.texts, pa.string()), pa.array(self.raws, pa.binary())], names=["kind", "value", "bytes"]
+        )
+        none = pa.array([not v for v in self.valid], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), cells, mask=none)
+
+
+class _Rows:
+    """Decoded frames in columns. Row changes, which are nearly all frames, are read without going through a dict."""
+
+    def __init__(self):
+        self.plain: dict[str, list] = {c: [] for c in PLAIN}
+        self.new, self.old = _Cells(), _Cells()
+
+    def change(self, state: State, p: bytes) -> tuple:
+        """(sub_xid, rel, old_is_key) of an insert, update or delete."""
+        at, sub = 1, None
+        if state.block:
+            (sub,), at = _UINT.unpack_from(p, at), at + 4
+        (rel,), at = _UINT.unpack_from(p, at), at + 4
+        is_key, kind = None, p[at]
+        if p[0] != 73 and kind in (75, 79):  # not I, and K or O
+            is_key = kind == 75
+            at = self.old.read(p, at + 1)
+            kind = p[at] if p[0] == 85 else None
+        else:
+            self.old.none()
+        if p[0] == 68:  # D
+            if is_key is None:
+                raise Malformed("delete without an old row")
+            self.new.none()
+        elif kind == 78:  # N
+            at = self.new.read(p, at + 1)
+        else:
+            raise Malformed("change without a new row")
+        if at != len(p):
+            raise Malformed(f"{len(p) - at} bytes left over")
+        return sub, rel, is_key
+
+    def add(self, frame_no: int, frame_lsn: str, state: State, p: bytes) -> None:
+        out = self.plain
+        if p[:1] in (b"I", b"U", b"D"):
+            try:
+                sub, rel, is_key = self.change(state, p)
+            except (struct.error, IndexError) as e:
+                raise Malformed("payload that ends early") from e
+            values = (frame_no, frame_lsn, chr(p[0]), state.xid, sub, rel, None, None, None, is_key, None)
+        else:
+            m = state.decode(p)
+            relation = json.dumps({k: m[k] for k in ("rel", "schema", "name", "identity", "columns")}) if m["tag"] == "R" else None
+            self.new.none(), self.old.none()
+            values = (frame_no, frame_lsn, m["tag"], m.get("xid"), m.get("sub_xid"), m.get("rel"), m.get("rels"), m.get("commit_lsn") or m.get("final_lsn"), m.get("time"), None, relation)
+        for column, v in zip(out.values(), values, strict=True):
+            column.append(v)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = {"rels": pa.list_(pa.int64()), "frame_lsn": pa.string(), "tag": pa.string(), "commit_lsn": pa.string(), "relation": pa.string(), "old_is_key": pa.bool_()}
+        cols = {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in self.plain.items()} | {"new": self.new.array(), "old": self.old.array()}
+        return pa.RecordBatch.from_arrays([cols[c] for c in ROW_COLUMNS], names=list(ROW_COLUMNS))
 
 
 class State:
@@ -236,9 +334,20 @@ class State:
         return m
 
 
-def decode_frames(frames: DataFrame, partitions: int = 8) -> DataFrame:
-    """Rows of (frame_no, frame_lsn, payload), in the schema ``ROW``; ``frame_no`` gives the order."""
-    ordered = frames.select("frame_no", "frame_lsn", "payload").repartitionByRange(partitions, "frame_no").sortWithinPartitions("frame_no")
+#: Payload bytes that a task decodes at most on average.
+DECODE_BYTES = 64 << 20
+
+
+def decode_frames(frames: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows of (frame_no, frame_lsn, payload), in the schema ``ROW``; ``frame_no`` gives the order.
+
+    By default there are as many partitions as the payloads' bytes ask for, and not fewer than the session's parallelism.
+    """
+    frames = frames.select("frame_no", "frame_lsn", "payload")
+    if partitions is None:
+        size = frames.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+        partitions = max(frames.sparkSession.sparkContext.defaultParallelism, -(-size // DECODE_BYTES))
+    ordered = frames.repartitionByRange(partitions, "frame_no").sortWithinPartitions("frame_no")
     ordered = common.checkpoint(ordered)  # both passes must see the same partitions
     number = lambda at: F.conv(F.hex(F.substring("payload", at, 4)), 16, 10).cast("bigint")
     tag = F.decode(F.substring("payload", 1, 1), "ISO-8859-1")
@@ -250,24 +359,23 @@ def decode_frames(frames: DataFrame, partitions: int = 8) -> DataFrame:
     # One row per partition: its last mark, hence the state that it leaves.
     last = sorted((r["frame_no"], r["tag"], r["xid"]) for r in marks.collect())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: State | None = None
-        for pdf in batches:
-            out = []
-            for no, lsn, payload in zip(pdf["frame_no"], pdf["frame_lsn"], pdf["payload"], strict=True):
+        for b in batches:
+            out = _Rows()
+            for no, lsn, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if state is None:
                     before = [m for m in last if m[0] < no]
                     tag, xid = before[-1][1:] if before else ("E", None)
                     state = State(tag == "S", xid if tag in ("S", "B") else None)
-                out.append(_as_row(no, lsn, state.decode(bytes(payload))))
-            yield pd.DataFrame(out, columns=[*ROW_COLUMNS]).astype(
-                {c: "Int64" for c in ("frame_no", "xid", "sub_xid", "rel", "time_micros")} | {"old_is_key": "boolean"}
-            )
+                out.add(no, lsn, state, payload)
+            yield out.batch()
 
-    return ordered.mapInPandas(run, ROW)
+    return ordered.mapInArrow(run, ROW)
 
 
 ROW_COLUMNS = ("frame_no", "frame_lsn", "tag", "xid", "sub_xid", "rel", "rels", "commit_lsn", "time_micros", "new", "old", "old_is_key", "relation")
+PLAIN = tuple(c for c in ROW_COLUMNS if c not in ("new", "old"))
 
 
 class Encoder:

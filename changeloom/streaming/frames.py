@@ -1,7 +1,7 @@
 """Python data source ``recorded_frames``: a recorded replication stream, followed by position.
 
-The recording is a text file, one frame a line: number, position and payload in hex, separated by blanks. Offsets are frame
-numbers, so a restart resumes after the last committed micro-batch and a replay reads the same frames again.
+The recording is a text file, one frame a line: number, position and payload in hex, separated by blanks, numbers rising. Offsets are frame
+numbers with the byte they begin at, so a restart resumes after the last committed micro-batch and a replay reads the same frames again.
 """
 
 from __future__ import annotations
@@ -15,31 +15,40 @@ from pyspark.sql.types import StructType
 SCHEMA = "frame_no bigint, frame_lsn string, payload binary"
 
 
-def _frames(path: str, start: int, end: int | None) -> Iterator[tuple[int, str, bytes]]:
-    with open(path) as f:
+def _frames(path: str, start: int, end: int | None, byte: int = 0) -> Iterator[tuple[int, str, bytes, int]]:
+    """Frames from number ``start`` on, before ``end``, with where the line after each begins; reading begins at ``byte``, which must begin a line."""
+    with open(path, "rb") as f:
+        f.seek(byte)
+        at = byte
         for line in f:
-            no, lsn, payload = line.split()
-            if int(no) >= start and (end is None or int(no) < end):
-                yield int(no), lsn, bytes.fromhex(payload)
+            at += len(line)
+            no, lsn, payload = line.decode().split()
+            if end is not None and int(no) >= end:
+                return
+            if int(no) >= start:
+                yield int(no), lsn, bytes.fromhex(payload), at
 
 
 class _Stream(SimpleDataSourceStreamReader):
+    """Offsets hold the number of the next frame and the byte it begins at, so a micro-batch reads only its own lines."""
+
     def __init__(self, options: dict):
         self.path, self.most = options["path"], int(options.get("framesPerBatch", 10_000))
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"frame": 0}
+        return {"frame": 0, "byte": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        out = []
-        for frame in _frames(self.path, start["frame"], None):
-            out.append(frame)
+        out, end = [], start
+        for no, lsn, payload, at in _frames(self.path, start["frame"], None, start.get("byte", 0)):
+            out.append((no, lsn, payload))
+            end = {"frame": no + 1, "byte": at}
             if len(out) >= self.most:
                 break
-        return iter(out), {"frame": out[-1][0] + 1 if out else start["frame"]}
+        return iter(out), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return _frames(self.path, start["frame"], end["frame"])
+        return (f[:3] for f in _frames(self.path, start["frame"], end["frame"], start.get("byte", 0)))
 
     def commit(self, end: dict) -> None:
         """Nothing to release: the recording stays."""
@@ -50,7 +59,7 @@ class _Batch(DataSourceReader):
         self.path = options["path"]
 
     def read(self, partition) -> Iterator[tuple]:
-        return _frames(self.path, 0, None)
+        return (f[:3] for f in _frames(self.path, 0, None))
 
 
 class RecordedFrames(DataSource):

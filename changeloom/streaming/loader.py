@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from changeloom.functions import envelope, lsn
 from changeloom.operators import evolve, mirror
 from changeloom.sources.control import ControlStore, StagedFile
+from changeloom.streaming.plan import SchemaCache
 
 RAW = ["op", "commit_lsn", "lsn", "unchanged", "sink_processed_at"]
 
@@ -35,6 +36,7 @@ class TableLoader:
         self.spark, self.control, self.root, self.keys = spark, control, root.rstrip("/"), keys
         self.id = (epoch, schema, table)
         self.store = mirror.MirrorStore(spark, f"{self.root}/mirror", keys, buckets)
+        self.schemas = SchemaCache()
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -58,7 +60,8 @@ class TableLoader:
         return top
 
     def _read(self, f: StagedFile) -> DataFrame:
-        df = self.spark.read.parquet(f.uri)
+        schema = self.schemas.schema(f.schema_version, lambda: self.spark.read.parquet(f.uri).schema)  # files of one version are alike
+        df = self.spark.read.schema(schema).parquet(f.uri)
         df = envelope.read(envelope.promote(df), "unchanged_toast").withColumnRenamed("m_unchanged_toast", "unchanged").drop("sink_meta")
         commit = F.lit(f.lsn_end) if f.kind == "spill" else lsn.normal("commit_lsn")
         return df.withColumns({"commit_lsn": commit, "lsn": lsn.normal("lsn"), "unchanged": F.coalesce("unchanged", F.array().cast("array<string>"))})
@@ -146,6 +149,43 @@ class TableLoader:
         m = self.store.read()
         return None if m is None else mirror.user_view(m)
 
+    # Schema events
+
+    def create(self, version: int) -> None:
+        """An empty mirror of a registered version; a table that has one keeps it."""
+        self.control.ensure_watermark(*self.id)
+        if self.store.current() is None:
+            cols = ", ".join(f"`{c.name}` {c.spark}" for c in self.columns(version))
+            empty = self.spark.createDataFrame([], f"{cols}, _commit_lsn string, _lsn string, _deleted boolean")
+            self.store.write(empty, {"seen": [], "schema": version, "reload": 0})
+
+    def consume(self, lsn_: str, tag: str, columns: list[dict] | None = None, comment: tuple[str, str | None] | None = None) -> int | None:
+        """An event of the source: a structural one registers the next version and returns it, so that the writer begins a new file; a
+        comment goes to the mirror alone and returns None; a dropped table is retired."""
+        self.control.add_ddl(self.id[0], lsn_, tag, f"{self.id[1]}.{self.id[2]}")
+        if tag.upper() == "DROP TABLE":
+            self.retire()
+            return None
+        if tag.upper() == "COMMENT":
+            if comment is not None:
+                self.control.set_comment(*self.id, comment[1], comment[0])
+            return None
+        latest = self.control.version(*self.id)
+        version = (latest[0] if latest else 0) + 1
+        if columns is not None:
+            self.control.add_version(*self.id, version, columns)
+        return version
+
+    def retire(self) -> None:
+        """A dropped table: queue and positions first, then its folders, so nothing is read that is half gone."""
+        self.control.retire_table(*self.id)
+        self._fs.delete(self._path(self.root), True)
+
+    def rename(self, new: str) -> TableLoader:
+        """The same table under its new name, with its log and mirror; the folder is named by the table's identity and stays."""
+        self.control.rename_table(*self.id, new)
+        return TableLoader(self.spark, self.control, self.root, self.id[0], self.id[1], new, self.keys, self.store.buckets)
+
     # Upkeep
 
     def rebuild(self) -> None:

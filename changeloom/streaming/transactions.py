@@ -1,46 +1,61 @@
 """Transactions that arrive interleaved: nothing is visible before its commit, rolled-back parts never are.
 
-Keyed by top transaction. State is the rows that came so far and the sub-transactions that were aborted. A commit emits the
-surviving rows stamped with its position; a whole abort drops them. Open transactions stay in state, which the state store
-keeps on disk; they never expire, as a position that is still open must not be passed.
+Keyed by top transaction. State is a list of the rows that came so far, to which a batch only appends, and the sub-transactions that were aborted. A
+commit emits the surviving rows stamped with its position, in pieces; a whole abort drops them. Open transactions stay in state, which the state
+store (RocksDB) keeps on disk; they never expire, as a position that is still open must not be passed.
+
+Changes of a transaction in the same batch as its commit count whatever their order; changes after it are another transaction of that number.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from itertools import batched
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Messages: kind is change, commit or abort; ``lsn`` orders them within a transaction.
 MESSAGES = "xid bigint, sub_xid bigint, kind string, lsn string, payload string"
 OUT = "xid bigint, sub_xid bigint, lsn string, payload string, commit_lsn string"
-
-
-def _gate(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {"rows": [], "dead": []}
-    rows, dead = held["rows"], set(held["dead"])
-    commit = None
-    for pdf in batches:
-        for m in pdf.sort_values("lsn").itertuples(index=False):
-            if m.kind == "change":
-                rows.append([int(m.sub_xid), m.lsn, m.payload])
-            elif m.kind == "abort":
-                dead.add(int(m.sub_xid))
-            elif m.kind == "commit":
-                commit = m.lsn
-    if commit is not None or key[0] in dead:
-        if state.exists:
-            state.remove()
-        alive = [] if key[0] in dead else [r for r in rows if r[0] not in dead]
-        yield pd.DataFrame([(key[0], s, p, x, commit) for s, p, x in alive], columns=["xid", "sub_xid", "lsn", "payload", "commit_lsn"])
-    else:
-        state.update((json.dumps({"rows": rows, "dead": sorted(dead)}),))
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that are emitted at once.
+PIECE = 10_000
+
+
+class _Gate(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", "sub_xid bigint, lsn string, payload string")
+        self.dead = handle.getMapState("dead", "sub_xid bigint", "at string")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        commit = None
+        for pdf in rows:
+            kind = pdf["kind"]
+            new = pdf[kind == "change"]
+            if len(new):
+                self.rows.appendList([(int(s), x, p) for s, x, p in zip(new["sub_xid"], new["lsn"], new["payload"], strict=True)])
+            for s, x in zip(*[pdf.loc[kind == "abort", c] for c in ("sub_xid", "lsn")], strict=True):
+                self.dead.updateValue((int(s),), (x,))
+            commit = next(iter(pdf.loc[kind == "commit", "lsn"]), commit)
+        whole = self.dead.containsKey((int(key[0]),))
+        if commit is None and not whole:
+            return
+        if not whole and self.rows.exists():
+            dead = {k[0] for k in self.dead.keys()} if self.dead.exists() else set()
+            alive = (r for r in self.rows.get() if r[0] not in dead)
+            for piece in batched(alive, PIECE):
+                yield pd.DataFrame([(int(key[0]), *r, commit) for r in piece], columns=["xid", "sub_xid", "lsn", "payload", "commit_lsn"])
+        self.rows.clear()
+        self.dead.clear()
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
 
 
 def committed(messages: DataFrame) -> DataFrame:
-    """Rows of committed transactions from a stream of ``MESSAGES``."""
-    return messages.groupBy("xid").applyInPandasWithState(_gate, OUT, "held string", "append", GroupStateTimeout.NoTimeout)
+    """Rows of committed transactions from a stream of ``MESSAGES``. The session's state store must be RocksDB, which is set here."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return messages.groupBy("xid").transformWithStateInPandas(_Gate(), OUT, "append", "none")

@@ -39,9 +39,9 @@ def duck():
 
 
 def core():
-    from changeloom.plans import feed, feed_sql, live, store, store_sql
+    from changeloom.plans import feed, feed_sql, live, service, store, store_sql
 
-    return {**store.QUERIES, **feed.QUERIES, **live.QUERIES}, {**store_sql.ORACLE, **feed_sql.ORACLE, **live.ORACLE}
+    return {**store.QUERIES, **feed.QUERIES, **live.QUERIES, **service.QUERIES}, {**store_sql.ORACLE, **feed_sql.ORACLE, **live.ORACLE, **service.ORACLE}
 
 
 @pytest.mark.parametrize("name", sorted(core()[0]))
