@@ -1,6 +1,6 @@
 """Consolidation of many small files into few well-sized ones.
 
-1. *Boundaries*: bytes of all rows are summed; a bounded sample of clustering keys (``SAMPLE`` rows, each with its bytes) is cut where ``TARGET_BYTES``
+1. *Boundaries*: bytes of all rows are summed; a bounded sample of clustering keys (at most ``MOST`` rows, each with its bytes) is cut where ``TARGET_BYTES``
    are full. Clustering keys are source table, schema version, position and row key.
 2. *Inventory*: how many different messages of each object go to which range, copies reduced before the shuffle. Objects with few are what to merge.
 3. *Write*: messages, each once, go to the range their keys fall in and are written in key order, one file a range. Small groups share a
@@ -26,7 +26,8 @@ from changeloom.operators import common
 SMALL = 40
 #: Bytes of row texts in one output file; compressed columns take about a fifth of it.
 TARGET_BYTES = 256 << 20
-SAMPLE = 100_000
+#: Sampled keys: so many, and so many more for each range, but no more than MOST.
+SAMPLE, PER_RANGE, MOST = 10_000, 10, 1_000_000
 #: Boundaries that are compared one by one; beyond it a coarser list of every so many narrows them down first.
 STRIDE = 256
 GROUP = ["epoch", "source_schema", "source_table"]
@@ -51,7 +52,7 @@ def _versioned(log: DataFrame) -> DataFrame:
     return common.read_changes(log.drop("schema_version"), "schema_version").withColumnRenamed("m_schema_version", "schema_version")
 
 
-def boundaries(log: DataFrame, target_bytes: int = TARGET_BYTES, sample: int = SAMPLE) -> list[str]:
+def boundaries(log: DataFrame, target_bytes: int = TARGET_BYTES) -> list[str]:
     """Clustering keys that cut the log into ranges of about ``target_bytes``, repeats included; sampled rows weigh as much as they are long."""
     size = row_bytes(log)
     total = log.agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -59,6 +60,7 @@ def boundaries(log: DataFrame, target_bytes: int = TARGET_BYTES, sample: int = S
     if parts <= 1:
         return []
     # The sample is drawn before anything is parsed. It is bounded: about ``sample`` rows, and never more than twice that.
+    sample = min(SAMPLE + PER_RANGE * parts, MOST)
     few = log.withColumn("_bytes", size).sample(min(1.0, sample / total["n"]), 17).limit(2 * sample)
     drawn = sorted(((r["k"], r["b"]) for r in _versioned(few).select(cluster_key().alias("k"), F.col("_bytes").alias("b")).collect()))
     share, at, out = sum(b for _, b in drawn) / parts, 0, []
