@@ -6,20 +6,22 @@ Each runs on whole tables; where a table has no such content, it is derived from
 from __future__ import annotations
 
 import struct
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.functions import emit, lsn, objects, pgtext
-from changeloom.operators import common, ddl, mirror
+from changeloom.functions import emit, envelope, lsn, objects, pgtext
+from changeloom.operators import common, ddl, evolve, mirror
 from changeloom.plans import feed, feed_sql
 from changeloom.plans.store_sql import FILES, ROWS, n16, obj
-from changeloom.sources import catalog, staging, wire
+from changeloom.sources import catalog, contract, staging, wire
 from changeloom.sources.control import ControlStore
 from changeloom.sources.tables import table
-from changeloom.streaming import assemble, epochs, flow, monitor, plan
+from changeloom.streaming import apply, assemble, epochs, flow, monitor, plan
+from changeloom.streaming.loader import TableLoader
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -677,8 +679,6 @@ def control_pending_ddl(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_positions(spark: SparkSession, d: str) -> DataFrame:
     """Stored positions of streams: made once, confirmed without falling back, and what to do about the state they are found in."""
-    from changeloom.sources import contract
-
     control, out = ControlStore(), []
     for r in table(spark, d, "region").select("r_regionkey").toLocalIterator():
         name = f"s{r[0]}"
@@ -737,3 +737,127 @@ def control_partial_indexes(spark: SparkSession, d: str) -> DataFrame:
         refused = 1
     found = [r[0] for r in control.db.execute("SELECT name FROM sqlite_master WHERE type = 'index' AND sql LIKE '%WHERE%' ORDER BY name")]
     return spark.createDataFrame([(n, refused) for n in found], "name string, n int")
+
+
+# The whole loop
+
+
+@query(f"with {feed_sql.G} select id, status, amount, note from {feed_sql.top('g')} where op <> 'd'")
+def loader_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The derived log staged in files and worked off by the loader's loop to the end, with pruning and rebuilding every few steps."""
+    control = ControlStore()
+    epoch = control.next_epoch()
+    root = common.shared_dir(spark, "loader")
+    kinds = {"id": ("int8", "bigint"), "status": ("text", "string"), "amount": ("float8", "double"), "note": ("text", "string")}
+    columns = [{"name": n, "type": t, "spark": k, "pos": i} for i, (n, (t, k)) in enumerate(kinds.items(), 1)]
+    control.add_version(epoch, "public", "t", 1, columns)
+    writer = staging.Writer(spark, f"{root}/staged", control)
+    log = feed.log(spark, d)
+    meta = envelope.write(op=F.col("op"), lsn=F.col("lsn"), commit_lsn=F.col("commit_lsn"), epoch=F.lit(epoch), source_table=F.lit("t"), kind=F.lit("stream"),
+                          unchanged_toast=F.array().cast("array<string>"), sink_processed_at=F.col("ts").cast("string"))
+    rows = log.select("id", "status", "amount", "note", meta.alias("sink_meta"), "commit_lsn")
+    top = int(log.agg(F.max("commit_lsn")).first()[0], 16)
+    cuts = [f"{top * i // 4:016X}" for i in range(5)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows.where((F.col("commit_lsn") > low) & (F.col("commit_lsn") <= high)).drop("commit_lsn")
+        writer.stage(part, epoch, "public", "t", low, high, 1)
+    loader = TableLoader(spark, control, f"{root}/t", epoch, "public", "t", ["id"])
+    loader.create(1)
+    stop, health = threading.Event(), monitor.Health()
+
+    def step() -> bool:
+        busy = loader.tick(limit=1)
+        if not busy:
+            stop.set()
+        return busy
+
+    def upkeep() -> None:
+        loader.prune(lag=0)
+        loader.rebuild()
+
+    monitor.run_until_drained(step, stop, health, every=3, upkeep=upkeep)
+    return loader.mirror()
+
+
+@query(f"with {feed_sql.G} select id, status, amount, note, commit_lsn as _commit_lsn, lsn as _lsn from {feed_sql.top('g')} where op <> 'd'")
+def stream_drained(spark: SparkSession, d: str) -> DataFrame:
+    """A stream that runs on a clock, drained: it finishes what it has read and stops."""
+    root = common.shared_dir(spark, "drained")
+    log = feed.log(spark, d).select("id", *feed.DATA, "op", "commit_lsn", "lsn")
+    log.repartitionByRange(3, "lsn").write.parquet(f"{root}/staged")
+    store = mirror.MirrorStore(spark, f"{root}/mirror", ["id"])
+    monitor.drain(apply.follow(spark, f"{root}/staged", log.schema, store, f"{root}/offsets", ["id"], feed.DATA, files_per_batch=2, until_idle=False))
+    return store.read().where("not _deleted").drop("_deleted")
+
+
+@query(
+    f"""with {_KEPT} select event_id * 8 + case when event_id % 4 = 0 then 4 else 0 end as frame_no, op, commit_lsn, lsn from k"""
+)
+def recorded_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The recording as a text file, followed by the streaming source in micro-batches, then decoded and gated by commit."""
+    from changeloom.streaming import frames
+
+    root = common.shared_dir(spark, "recorded")
+    lines = recording(spark, d).select("frame_no", F.concat_ws(" ", "frame_no", "frame_lsn", F.hex("payload")).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("frame_no").select("value").write.text(f"{root}/text")  # a recording is one file
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/text")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    (path,) = [s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    frames.register(spark)
+    stream = spark.readStream.format("recorded_frames").option("path", path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+    q = stream.option("framesPerBatch", 20_000).load().writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets").start()
+    monitor.drain(q)
+    rows = assemble.committed(wire.decode_frames(spark.read.schema(frames.SCHEMA).parquet(f"{root}/out")))
+    return rows.where("rel = 7").select("frame_no", "op", "commit_lsn", "lsn")
+
+
+@query(
+    f"""with {FILES}, k as (select epoch, source_schema, source_table, file_id, list_sort(list(distinct lower(trim(col_name))) filter (where is_key)) as key from files join staged_columns using (file_id) group by all),
+    r as (select epoch, source_schema, source_table, arg_max(coalesce(key, []), file_id) as registered from k group by all)
+    select file_id from k join r using (epoch, source_schema, source_table) where coalesce(key, []) <> registered"""
+)
+def key_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose key columns are not those of the newest file of their source table."""
+    files = common.objects_of(table(spark, d, "file_manifest")).select("file_id", *ddl.TABLE)
+    return contract.key_sets_that_differ(files.join(table(spark, d, "staged_columns"), "file_id"), ddl.TABLE, "file_id")
+
+
+@query(
+    """select n_nationkey as id, concat_ws('; ', case when n_nationkey % 2 = 0 then 'no right to replicate' end, case when n_nationkey % 3 = 0 then 'wal level replica' end,
+      case when n_nationkey % 5 = 0 then 'version 130000' end, case when n_nationkey % 7 = 0 then 'no replication slot left' end, case when n_nationkey % 4 = 1 then 'no wal sender left' end) as findings from nation"""
+)
+def server_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps a stream from starting, for servers of many states."""
+    out = []
+    for (n,) in table(spark, d, "nation").select("n_nationkey").toLocalIterator():
+        s = catalog.Server(n % 2 != 0, "replica" if n % 3 == 0 else "logical", 130_000 if n % 5 == 0 else 160_000, 10 if n % 7 == 0 else 3, 10, 5 if n % 4 == 1 else 0, 5)
+        out.append((n, "; ".join(f.check for f in catalog.server_findings(s))))
+    return spark.createDataFrame(out, "id int, findings string")
+
+
+@query(
+    """select n_nationkey as id, case when n_nationkey % 2 = 0 then 200 else 503 end as startup, case when n_nationkey % 3 > 0 then 200 else 503 end as healthz,
+      case when n_nationkey % 2 = 0 and n_nationkey % 3 > 0 and n_nationkey % 5 > 0 and n_nationkey % 7 > 0 then 200 else 503 end as ready from nation"""
+)
+def health_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Probes of loaders in many states: a table in quarantine or a drain takes readiness away, not liveness."""
+    from datetime import datetime
+
+    out = []
+    for (n,) in table(spark, d, "nation").select("n_nationkey").toLocalIterator():
+        h = monitor.Health(n % 2 == 0, datetime(2025, 1, 1) if n % 3 else None, set() if n % 5 else {"t"}, n % 7 == 0)
+        out.append((n, *[h.probes()[k] for k in ("startup", "healthz", "ready")]))
+    return spark.createDataFrame(out, "id int, startup int, healthz int, ready int")
+
+
+@query(
+    """select e.id, e.state, e.n, e.qty from (select event_id as id, event_type as state, cast(event_id % 1000 as bigint) as n, cast(event_id % 1000 as varchar) as q, event_id % 5 = 0 as bad,
+      cast(event_id % 1000 as int) as qty from events) e where not bad"""
+)
+def schema_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """A mirror stepped from version 1 to 6; versions 3 and 5 are not registered. A rename, a widening and a type that some rows do not fit."""
+    v1 = feed._V1
+    v2 = [v1[0], evolve.Column("state", "text", "string", 2), *v1[2:]]
+    v4 = [*v2[:2], evolve.Column("n", "int8", "bigint", 3), v2[3]]
+    v6 = [*v4[:3], evolve.Column("qty", "int4", "int", 4)]
+    return evolve.reconcile(feed._version1(spark, d), {1: v1, 2: v2, 4: v4, 6: v6}, 1, 6)[0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from changeloom.functions.pgtypes import ALIASES
-
 
 def n16(c: str) -> str:
     """Normal form of a position."""
@@ -39,7 +37,11 @@ union all select 'file', keep_id, file_id from m where file_id > keep_id"""
 P1_ONCE = f"""with {ROWS}, k as (select *, min(rid) over (partition by {ID}) as keep_id from rows_)
 select rid, s3_uri, row_no, op, row_key, row_data from k where rid = keep_id"""
 
-_ALIAS = " ".join(f"when '{k}' then '{v}'" for k, v in ALIASES.items())
+# The documented spellings of types, written down here on their own so that the query's table is checked, too.
+_ALIAS = """when 'bigint' then 'int8' when 'integer' then 'int4' when 'int' then 'int4' when 'smallint' then 'int2' when 'boolean' then 'bool' when 'real' then 'float4'
+  when 'double precision' then 'float8' when 'float' then 'float8' when 'decimal' then 'numeric' when 'dec' then 'numeric' when 'character varying' then 'varchar' when 'character' then 'bpchar'
+  when 'char' then 'bpchar' when 'timestamp without time zone' then 'timestamp' when 'timestamp with time zone' then 'timestamptz' when 'time without time zone' then 'time'
+  when 'time with time zone' then 'timetz'"""
 _SCHEMAS = f"""{ROWS}, {FILES},
  v as (select f.file_id, f.epoch, f.source_schema, f.source_table, r.sv from files f join (select object, min(schema_version) as sv from rows_ group by object) r using (object)),
  raw as (select v.*, pos, lower(trim(col_name)) as name, lower(trim(regexp_replace(col_type, '\\s+', ' ', 'g'))) as t from staged_columns join v using (file_id)),

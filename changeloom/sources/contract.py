@@ -63,6 +63,20 @@ def schema_findings(files: dict[str, list[str]], registered: list[str]) -> list[
     return [Finding("key columns differ", name, True) for name, cols in files.items() if {*cols} != {*registered}]
 
 
+def key_sets_that_differ(columns: DataFrame, by: list[str], of: str) -> DataFrame:
+    """(of): the members, files say, whose set of key columns is not that of the largest member of their group ``by``, the one registered last.
+
+    ``columns``: by, of, col_name, is_key. Names count trimmed and in lower case, order does not; members without a key have the empty set.
+    """
+    name = F.when(F.coalesce("is_key", F.lit(False)), F.lower(F.trim("col_name")))
+    sets = columns.groupBy(*by, of).agg(F.array_sort(F.collect_set(name)).alias("key"))
+    newest = sets.groupBy(*by).agg(F.max_by("key", of).alias("registered"))
+    a, b, same = sets.alias("a"), newest.alias("b"), F.lit(True)
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).where(F.col("key") != F.col("registered")).select(F.col(f"a.{of}").alias(of))
+
+
 def frame_gaps(frames: DataFrame, block: int = 100_000) -> DataFrame:
     """(from_no, to_no): missing frame numbers between the first and the last.
 

@@ -1,13 +1,15 @@
 """Python data source ``recorded_frames``: a recorded replication stream, followed by position.
 
-The recording is a text file, one frame a line: number, position and payload in hex, separated by blanks, numbers rising. Offsets are frame
+The recording is a text file in any file system that Arrow reads (a path, or a URI such as ``file://`` or ``hdfs://``), one frame a line: number, position and payload in hex, separated by blanks, numbers rising. Offsets are frame
 numbers with the byte they begin at, so a restart resumes after the last committed micro-batch and a replay reads the same frames again.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
@@ -17,10 +19,11 @@ SCHEMA = "frame_no bigint, frame_lsn string, payload binary"
 
 def _frames(path: str, start: int, end: int | None, byte: int = 0) -> Iterator[tuple[int, str, bytes, int]]:
     """Frames from number ``start`` on, before ``end``, with where the line after each begins; reading begins at ``byte``, which must begin a line."""
-    with open(path, "rb") as f:
+    fs, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    with fs.open_input_file(name) as f:
         f.seek(byte)
         at = byte
-        for line in f:
+        for line in io.BufferedReader(f, 1 << 20):
             at += len(line)
             no, lsn, payload = line.decode().split()
             if end is not None and int(no) >= end:

@@ -1,4 +1,4 @@
-"""Every query of the core against its SQL on the smallest tables; those without SQL must run."""
+"""Every query of the core against its SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -50,8 +50,7 @@ def test_query(spark, duck, name):
     df = queries[name](spark, SMALL)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    if name not in oracle:
-        return
+    assert name in oracle, "every query of the core has SQL"
     cur = duck.execute(oracle[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
