@@ -123,13 +123,17 @@ def interval(c: Column | str, strict: bool = False) -> Column:
     The default form is taken apart by one regular expression; only texts of another form go the longer way.
     """
     s = _c(c)
-    parts = F.split(F.regexp_replace(s, _INTERVAL, _PARTS), ",")
-    num = lambda i, kind="bigint": F.when(F.get(parts, F.lit(i)) == "", 0).otherwise(F.get(parts, F.lit(i)).try_cast(kind))
-    clock = ((num(5) * 60 + num(6)) * 60 + num(7)) * 1_000_000 + F.rpad(F.get(parts, F.lit(8)), 6, "0").try_cast("bigint")
-    micros = F.when(F.get(parts, F.lit(4)) == "-", -clock).otherwise(clock)
-    short = F.struct((num(1) * 12 + num(2)).cast("int").alias("months"), num(3, "int").alias("days"), micros.alias("micros"))
-    value = F.when((F.get(parts, F.lit(0)) == "=") & (F.trim(s) != ""), short).otherwise(_verbose_interval(s))
-    return _checked(s, value.isNotNull(), value, "interval", strict)
+
+    def taken(p: Column) -> Column:
+        num = lambda i, kind="bigint": F.when(F.get(p, F.lit(i)) == "", 0).otherwise(F.get(p, F.lit(i)).try_cast(kind))
+        clock = ((num(5) * 60 + num(6)) * 60 + num(7)) * 1_000_000 + F.rpad(F.get(p, F.lit(8)), 6, "0").try_cast("bigint")
+        micros = F.when(F.get(p, F.lit(4)) == "-", -clock).otherwise(clock)
+        short = F.struct((num(1) * 12 + num(2)).cast("int").alias("months"), num(3, "int").alias("days"), micros.alias("micros"))
+        return F.when((F.get(p, F.lit(0)) == "=") & (F.trim(s) != ""), short).otherwise(_verbose_interval(s))
+
+    # The parts are bound by a lambda, and the value is named once: an expression inside a condition is evaluated wherever it is named.
+    value = F.get(F.transform(F.array(F.split(F.regexp_replace(s, _INTERVAL, _PARTS), ",")), taken), F.lit(0))
+    return F.coalesce(value, F.when(s.isNotNull(), F.raise_error(F.concat(F.lit("not a value of type interval: "), s)))) if strict else value
 
 
 def _verbose_interval(s: Column) -> Column:
