@@ -181,20 +181,32 @@ def _inherited(changes: DataFrame, events: DataFrame) -> DataFrame:
     return state.where("found").select(*KEY, "pos", "field", "value")
 
 
-def _first_wins(entries: str) -> Column:
-    """Map of the entries (k, v) of an array column; of equal keys, which are spellings of one name, the first counts."""
-    keys = F.transform(entries, lambda e: e["k"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_wins(entries: Column) -> Column:
+    """Map of the entries (k, v) of an array; of equal keys, which are spellings of one name, the first counts."""
+
+    def distinct(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["k"])
+        once = _bound(keys, lambda ks: F.filter(es, lambda e, i: F.array_position(ks, e["k"]) == i + 1))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), es).otherwise(once))
+
+    return _bound(entries, distinct)
 
 
 def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     """``row_fields`` and ``unset`` under the names of the newest version, without fields that it lacks.
 
     A field that no footer of its version has was never removed: it stays under its own name, trimmed and in lower case, unless
-    a field of that name lives on. Of two spellings of one name in a row the first counts.
+    a field of that name lives on. Of two spellings of one name in a row the first counts. Rows of a version that has the newest names already, in
+    their plain spelling, which are most rows, are passed on as they are.
     """
-    a, b = changes.alias("a"), common.broadcast_if_light(names.select(*TABLE, "schema_version", "living")).alias("b")
-    joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.living")
+    same = F.forall(F.map_entries("living"), lambda e: e["key"].eqNullSafe(e["value"])).alias("same")
+    a, b = changes.alias("a"), common.broadcast_if_light(names.select(*TABLE, "schema_version", "living", same)).alias("b")
+    joined = a.join(b, common.same([*TABLE, "schema_version"]), "left").select("a.*", "b.living", "b.same")
     plain = lambda k: F.lower(F.trim(k))
     known = lambda k: F.coalesce(F.map_contains_key("living", plain(k)), F.lit(False))
     entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
@@ -202,10 +214,14 @@ def _renamed(changes: DataFrame, names: DataFrame) -> DataFrame:
     listed = F.transform(F.filter(fields, lambda e: known(e["key"])), lambda e: entry(F.try_element_at("living", plain(e["key"])), e["value"]))
     others = F.transform(F.filter(fields, lambda e: ~known(e["key"])), lambda e: entry(plain(e["key"]), e["value"]))
     unset = F.transform("unset", lambda k: F.when(known(k), F.try_element_at("living", plain(k))).otherwise(plain(k)))
-    named = joined.withColumn("entries", F.concat(F.filter(listed, lambda e: e["k"].isNotNull()), others))
-    return named.withColumns(
-        {"row_fields": F.when(F.col("row_fields").isNotNull(), _first_wins("entries")), "unset": F.array_distinct(F.array_compact(unset))}
-    ).drop("living", "entries")
+    entries = F.concat(F.filter(listed, lambda e: e["k"].isNotNull()), others)
+    asis = lambda keys: F.coalesce("same", F.lit(False)) & F.forall(keys, lambda k: F.map_contains_key("living", k))
+    return joined.withColumns(
+        {
+            "row_fields": F.when(F.col("row_fields").isNull() | asis(F.map_keys("row_fields")), F.col("row_fields")).otherwise(_first_wins(entries)),
+            "unset": F.when(asis(F.col("unset")), F.col("unset")).otherwise(F.array_distinct(F.array_compact(unset))),
+        }
+    ).drop("living", "same")
 
 
 def current_fields(log: DataFrame, manifest: DataFrame, staged: DataFrame | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 @query
 def wire_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The derived log, encoded to frames and decoded again, with the commit position of each change's transaction."""
-    rows = wire.decode_frames(frames(spark, d))
+    rows = common.checkpoint(wire.decode_frames(common.checkpoint(frames(spark, d))))  # recorded once; read for changes and for commits
     commits = rows.where("tag in ('C', 'c')").select("xid", "commit_lsn")
     values = F.coalesce("new", "old")
     cell = lambda i: F.get(values, F.lit(i))["value"]

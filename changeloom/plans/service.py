@@ -86,7 +86,8 @@ def recording(spark: SparkSession, d: str) -> DataFrame:
     log = feed.log(spark, d)
     last = log.agg(F.max("event_id").alias("m")).scalar()
     rows = log.withColumn("last", (F.col("event_id") % 4 == 3) | (F.col("event_id") == last))
-    return rows.select("event_id", "id", "status", "amount", "note", "op", "commit_lsn", "lsn", "last").mapInPandas(_recording, "frame_no bigint, frame_lsn string, payload binary")
+    rows = rows.select("event_id", "id", "status", "amount", "note", "op", "commit_lsn", "lsn", "last")
+    return common.checkpoint(rows.mapInPandas(_recording, "frame_no bigint, frame_lsn string, payload binary"))  # recorded once
 
 
 _KEPT = f"""{feed_sql.G}, x as (select *, event_id // 4 as xid, event_id // 4 % 3 = 0 as streamed from g),

@@ -111,6 +111,7 @@ def typed_log(rows: DataFrame, shape: Shape, strict: bool = True) -> DataFrame:
 
 def logs(decoded: DataFrame, internal: tuple[str, ...] = INTERNAL) -> list[tuple[Shape, DataFrame]]:
     """The typed log of every announced shape. Frames are gated once; each shape then reads its own rows."""
+    decoded = common.checkpoint(decoded)  # read for announcements, commits, aborts and changes
     spans = common.checkpoint(announcements(decoded, internal))
     side = common.broadcast_if_light(spans)
     c = committed(decoded)
