@@ -388,6 +388,30 @@ def staged_files(spark: SparkSession, d: str) -> DataFrame:
     return files.join(held, "source_table").select("epoch", "source_schema", "source_table", "n_rows", "first_id", "last_id", objects.object_position("uri").alias("pos"))
 
 
+@query(
+    f"""with {feed_sql.TX}, s as (select xid % 50 as stream, sum(96 + length(status)) as b from c group by all order by b desc, stream limit 3), k as (select stream, row_number() over (order by b desc, stream) as place from s)
+    select stream as xid, count(*) as n_rows, '0000000000000ABC' as commit_lsn, 'spill' as kind from c join k on c.xid % 50 = stream where place <> 2 group by stream"""
+)
+def spilled_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """The three largest of fifty open transactions spilled to files; the second is rolled back, the others come out under their commit."""
+    control = ControlStore()
+    spills = staging.Spills(staging.Writer(spark, common.shared_dir(spark, "spills"), control))
+    changes, _, _ = feed._transactions(feed.log(spark, d))
+    changes = changes.withColumn("stream", F.col("xid") % 50)
+    sizes = changes.groupBy("stream").agg(F.sum(F.lit(96) + F.length("status")).alias("b")).orderBy(F.desc("b"), "stream").limit(3)
+    for n, r in enumerate(sizes.collect()):
+        spills.spill(changes.where(F.col("stream") == r["stream"]), 1, "public", "t", r["stream"], f"{n:016X}", 1)
+        if n == 1:
+            spills.abort(r["stream"])
+    for xid in list(spills.open):
+        spills.commit(xid, f"{0xABC:016X}")
+    out = None
+    for f in control.claim_ready(1, "public", "t"):
+        one = spark.read.parquet(f.uri).select(F.col("stream").alias("xid"), F.lit(f.lsn_end).alias("commit_lsn"), F.lit(f.kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("xid", "commit_lsn", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("select file_id, epoch || '/' || source_schema || '/' || source_table || '/' || " + n16("lsn_end") + " || '-' || file_id || '.parquet' as key from file_manifest")
 def object_keys(spark: SparkSession, d: str) -> DataFrame:
     key = staging.object_key(F.col("epoch"), F.col("source_schema"), F.col("source_table"), F.col("lsn_end"), F.col("file_id").cast("string"))

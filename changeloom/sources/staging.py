@@ -94,6 +94,44 @@ class Writer:
         return self._fs.delete(self._path(f"{self.root}/{epoch}"), True)
 
 
+class Spills:
+    """Open transactions whose rows were written to files before their commit, to free memory.
+
+    Such a file is named by the last position in it and has no row in the control store, so nobody reads it. A commit gives it a name by its own position and
+    registers it as kind spill, whose rows take the file's position as their commit; a roll-back deletes it. Rolled-back sub-transactions must have
+    been taken out before, or be left out by the reader.
+    """
+
+    def __init__(self, writer: Writer):
+        self.writer = writer
+        self.open: dict[int, list[tuple[int, str, str, str, int]]] = {}
+
+    def spill(self, rows: DataFrame, epoch: int, schema: str, table: str, xid: int, upto: str, version: int) -> str:
+        """Writes the rows of one table that transaction ``xid`` has so far."""
+        uri = self.writer.write(rows, epoch, schema, table, upto)
+        self.open.setdefault(xid, []).append((epoch, schema, table, uri, version))
+        return uri
+
+    def commit(self, xid: int, position: str) -> list[str]:
+        """Registers what the transaction has spilled, under its commit; returns the files' names."""
+        out = []
+        for epoch, schema, table, uri, version in self.open.pop(xid, []):
+            final = f"{self.writer.root}/{epoch}/{schema}/{table}/{position}-{uri.rsplit('/', 1)[1].partition('-')[2]}"
+            if not self.writer._fs.rename(self.writer._path(uri), self.writer._path(final)):
+                raise OSError(f"{uri} could not be renamed")
+            n = self.writer.spark.read.parquet(final).count()
+            self.writer.control.add_ready(epoch, schema, table, final, "spill", n, position, position, version)
+            out.append(final)
+        return out
+
+    def abort(self, xid: int) -> int:
+        """Deletes what the transaction has spilled; returns how many files."""
+        files = self.open.pop(xid, [])
+        for *_, uri, _ in files:
+            self.writer.discard(uri)
+        return len(files)
+
+
 def with_micros(spark: SparkSession) -> None:
     """Times in files are integers of microseconds, as every reader of staged files expects."""
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")

@@ -51,6 +51,7 @@ class TableLoader:
         if files[0].kind == "reload" and self._starts_reload(files[0]):
             self._wipe()
             self._fs.mkdirs(self._path(f"{self.root}/reload-{files[0].reload_id}"))  # after the wipe: a crash in between wipes again
+            self.control.delete_superseded(*self.id, files[0].lsn_end)  # queued files that end before the export began
         files = [f for f in files if (f.kind == "reload") == (files[0].kind == "reload")]
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._read(f) for f in files])
         folder = f"{self.root}/raw/{min(f.id for f in files):012d}-v{files[0].schema_version}"

@@ -150,6 +150,17 @@ def test_files_count_only_with_their_row(spark, tmp_path):
     assert {(r.id, r.b, r.range_no) for r in staging.export_ranges(some, "id", 2, at(1)).collect()} == {("1", r"\xab", 0), ("7", None, 1), (None, None, -1)}
 
 
+def test_spilled_rows_wait_for_their_commit(spark, tmp_path):
+    control = ControlStore()
+    spills = staging.Spills(staging.Writer(spark, f"file://{tmp_path}/s", control))
+    kept, gone = (spills.spill(spark.range(n), 1, "p", "t", n, at(n), 1) for n in (3, 4))
+    assert control.claim_ready(1, "p", "t") == [] and spills.abort(4) == 1 and spills.abort(4) == 0 and spills.commit(9, at(9)) == []
+    (uri,) = spills.commit(3, at(77))
+    (f,) = control.claim_ready(1, "p", "t")
+    assert (f.uri, f.kind, f.row_count, f.lsn_end) == (uri, "spill", 3, at(77)) and f"{at(77)}-" in uri and spark.read.parquet(uri).count() == 3
+    assert len(list((tmp_path / "s").rglob("*.parquet"))) == 1 and kept != uri and gone
+
+
 def test_a_lost_stream_begins_a_new_epoch(spark, tmp_path):
     control = ControlStore()
     writer = staging.Writer(spark, f"file://{tmp_path}/s", control)
