@@ -160,7 +160,9 @@ class WorkLedger:
         def make(before: DataFrame, number: int) -> DataFrame:
             nonlocal stale
             top = before.groupBy("item").agg(F.max("token").alias("top"))
-            judged = common.checkpoint(leased.join(top, "item").select("item", "token", (F.col("token") < F.col("top")).alias("late")))
+            a, b = leased.alias("a"), top.alias("b")
+            known = a.join(b, common.same(["item"]))
+            judged = common.checkpoint(known.select("a.item", "a.token", (F.col("a.token") < F.col("b.top")).alias("late")))
             stale = judged.where("late").select("item", "token")
             return _event(judged.where("not late"), F.col("token"), DONE, worker=worker)
 

@@ -130,6 +130,10 @@ def once(log: DataFrame) -> DataFrame:
     return log.join(repeated_rows(log).select(F.col("dup_id").alias("rid")), "rid", "left_anti")
 
 
+#: Stored filters.
+FILTER = "_bucket int, _segment int, _bits binary, _group int"
+
+
 class SeenStore:
     """Identifiers seen so far, for batches that arrive one after another.
 
@@ -158,7 +162,8 @@ class SeenStore:
         """Stored rows of some groups of buckets; a filter on the folders' names, so others are not opened."""
         out = None
         for e in entries:
-            df = self.spark.read.parquet(f"{self.root}/{e['folder']}/{what}").where(F.col("_group").isin(groups))
+            schema = e["ids"] if what == "ids" else FILTER  # an empty batch has no files to tell it
+            df = self.spark.read.schema(schema).parquet(f"{self.root}/{e['folder']}/{what}").where(F.col("_group").isin(groups))
             out = df if out is None else out.unionByName(df)
         return out
 
@@ -178,7 +183,11 @@ class SeenStore:
     def fresh(self, ids: DataFrame, id_col: str, position: Column, batch: int) -> DataFrame:
         """The rows of ``ids`` whose message is in no earlier batch, one (the smallest id) of each."""
         rows = self._rows(ids, position)
-        first = rows.join(repeats(ids, self.identity, id_col, position).select(F.col("dup_id").alias(id_col)), id_col, "left_anti")
+        # One copy of each message of the batch, which is bounded; copies are reduced before the shuffle and in salts.
+        rest = [c for c in rows.columns if c not in self.identity and c != id_col]
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        part = salted.groupBy(*self.identity, "_salt").agg(F.min(F.struct(id_col, *rest)).alias("_m"))
+        first = part.groupBy(*self.identity).agg(F.min("_m").alias("_m")).select(*self.identity, "_m.*")
         earlier = [e for e in self.entries() if max(e["batches"]) < batch]
         if earlier:
             possible = common.checkpoint(self.possible(first, earlier))
@@ -191,14 +200,15 @@ class SeenStore:
         folder = f"batch-{batch:012d}-{uuid.uuid4().hex}"
         rows = fresh.select("_bucket", "_segment", "_cells", "_group", "_h", *self.identity)
         rows.repartition("_group", F.pmod("_h", F.lit(SALTS))).write.partitionBy("_group").parquet(f"{self.root}/{folder}/ids")
-        self._index(folder)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*[f for f in rows.schema.fields if f.name != "_group"], rows.schema["_group"]])
+        self._index(folder, schema)
         others = [e for e in self.entries() if batch not in e["batches"]]
-        self.pointer.move({"entries": sorted([*others, {"batches": [batch], "folder": folder}], key=lambda e: max(e["batches"]))})
+        self.pointer.move({"entries": sorted([*others, {"batches": [batch], "folder": folder, "ids": schema}], key=lambda e: max(e["batches"]))})
         if len(self.entries()) > self.keep:
             self.merge()
 
-    def _index(self, folder: str) -> None:
-        ids = self.spark.read.parquet(f"{self.root}/{folder}/ids")
+    def _index(self, folder: str, schema: str) -> None:
+        ids = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/ids")
         filters = build_filter(ids).withColumn("_group", F.pmod("_bucket", F.lit(self.GROUPS)))
         filters.repartition("_group").write.partitionBy("_group").parquet(f"{self.root}/{folder}/filters")
 
@@ -208,8 +218,8 @@ class SeenStore:
         folder = f"merged-{uuid.uuid4().hex}"
         rows = self._read("ids", old, list(range(self.GROUPS)))
         rows.repartition("_group", F.pmod("_h", F.lit(SALTS))).write.partitionBy("_group").parquet(f"{self.root}/{folder}/ids")
-        self._index(folder)
-        self.pointer.move({"entries": [{"batches": sorted(b for e in old for b in e["batches"]), "folder": folder}, last]})
+        self._index(folder, last["ids"])
+        self.pointer.move({"entries": [{"batches": sorted(b for e in old for b in e["batches"]), "folder": folder, "ids": last["ids"]}, last]})
         for prefix in ("batch-", "merged-"):
             self.pointer.clean(prefix, {folder, last["folder"]})
 

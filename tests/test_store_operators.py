@@ -124,6 +124,18 @@ def test_a_restarted_store_knows_its_batches(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [_group" in plan
 
 
+def test_empty_batches_and_null_identifiers(spark, tmp_path):
+    store = redelivery.SeenStore(spark, f"file://{tmp_path}/seen", ["k", "epoch"])
+    batch = lambda rows: spark.createDataFrame(rows, "rid bigint, k bigint, epoch string, lsn string, _h string")
+    store.remember(store.fresh(batch([]), "rid", F.col("lsn"), 0), 0)
+    first = store.fresh(batch([(1, None, "a", None, "clash"), (2, None, "a", None, ""), (3, 7, None, "0", None)]), "rid", F.col("lsn"), 1)
+    assert sorted(r.rid for r in first.collect()) == [1, 3]
+    store.remember(first, 1)
+    again = store.fresh(batch([(4, None, "a", None, ""), (5, 7, None, "0", ""), (6, 7, "b", "0", "")]), "rid", F.col("lsn"), 2)
+    assert [r.rid for r in again.collect()] == [6]
+    assert store.fresh(batch([]), "rid", F.col("lsn"), 2).count() == 0
+
+
 # Schemas that drift
 
 
@@ -228,6 +240,17 @@ def test_unified_keeps_removed_fields_whose_name_is_taken(spark):
     assert {r.misfit for r in drift.unified_typed(log(spark, rows), files, staged).collect()} == {None}
 
 
+def test_typed_union_of_nothing_and_of_odd_rows(spark):
+    at, files, staged = versions(spark, ["id", "a"])
+    assert drift.unified_typed(log(spark, []), files, staged).count() == 0
+    rows = [change(1, "1", 1, uri=at(1), version=1, data={"id": None, "a": ""}), change(2, None, None, uri=at(1), version=None, data={"field": "x", "type": "y"})]
+    rows += [(*change(3, "3", 3, uri="s3://other/x.parquet")[:8], "not json", None, None)]
+    out = drift.unified_typed(log(spark, rows).withColumns({"field": F.lit(1), "v": F.lit(2)}), files, staged)
+    assert {(r.rid, r.field, r.type, r.v_text) for r in out.collect()} == {
+        (1, "id", "text", None), (1, "a", "text", ""), (2, "field", None, "x"), (2, "type", None, "y"), (3, None, None, None),
+    }
+
+
 def test_two_spellings_of_one_name_are_both_kept(spark):
     at, files, staged = versions(spark, ["id", "a"])
     rows = [change(1, "1", 1, uri=at(1), version=1, data={"id": 1, "a": "x", " A": "y"})]
@@ -315,6 +338,16 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert {r.state for r in book.state(at(59)).collect()} == {"done"}
 
 
+def test_a_null_item_and_an_empty_queue(spark, tmp_path):
+    book = ledger.WorkLedger(spark, f"file://{tmp_path}/book")
+    assert book.lease("a", "0", "2025-01-01", 60).count() == 0
+    book.enqueue(spark.createDataFrame([(None,), ("x",), (None,)], "item string"), "0")
+    held = book.lease("a", "1", "2025-01-01", 60)
+    assert held.count() == 2 and book.complete("a", "1", held).count() == 0
+    assert {(r.item, r.state) for r in book.state("2025-01-01").collect()} == {(None, "done"), ("x", "done")}
+    assert book.lease("b", "1", "2026-01-01", 60).count() == 0
+
+
 def test_two_controllers_never_complete_an_item_twice(spark, tmp_path, monkeypatch):
     """Both see the same state; the second one's commit comes between the first one's look and its commit."""
     books = [ledger.WorkLedger(spark, f"file://{tmp_path}/book") for _ in range(2)]
