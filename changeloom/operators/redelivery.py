@@ -8,7 +8,7 @@ that holds a third of all rows is cut by hash instead of overflowing one segment
 1. *Filter*: per segment, the cells that more than one delivery set (for a closed set), or all cells set so far (for a
    store that batches are held against). Cells are counted before the shuffle, packed in one number; so copies without end cost no more than one.
 2. *Screen*: a row with one clear cell is definitely new and goes no further. The filters have two bytes a row; they are written once, so their size is
-   known, and broadcast only below ``common.BROADCAST_BYTES``. Beyond it rows are shuffled to their segment.
+   known, and broadcast only below ``FILTER_BYTES``. Beyond it rows are shuffled to their segment.
 3. *Verify*: the rest, true repeats and about 1 % others, are compared exactly on all identifier columns; a store reads only the
    folders of the buckets they are in.
 
@@ -31,6 +31,8 @@ RING = 4096
 BITS = 32_768
 IDS_PER_SEGMENT = 2048
 HASHES = 2
+#: Filters of at most so many bytes together are broadcast; the driver builds the table.
+FILTER_BYTES = 8 << 20
 #: Salts over which the copies of one message are spread when they are compared exactly.
 SALTS = 8
 
@@ -88,7 +90,7 @@ def screen(rows: DataFrame, filters: DataFrame) -> DataFrame:
 
 def _bounded(filters: DataFrame) -> DataFrame:
     """Written filters, marked for broadcast if all their bits together are few enough."""
-    return F.broadcast(filters) if filters.count() * (BITS // 8 + 32) <= common.BROADCAST_BYTES else filters
+    return F.broadcast(filters) if filters.count() * (BITS // 8 + 32) <= FILTER_BYTES else filters
 
 
 def repeats(ids: DataFrame, identity: list[str], id_col: str, position: Column) -> DataFrame:
@@ -190,6 +192,7 @@ class SeenStore:
         first = part.groupBy(*self.identity).agg(F.min("_m").alias("_m")).select(*self.identity, "_m.*")
         earlier = [e for e in self.entries() if max(e["batches"]) < batch]
         if earlier:
+            first = common.checkpoint(first)  # read for its groups, for the screen and for the result
             possible = common.checkpoint(self.possible(first, earlier))
             a, b = possible.alias("a"), self.stored(possible, earlier).alias("b")
             on = (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._h") == F.col("b._h")) & common.same(self.identity)
