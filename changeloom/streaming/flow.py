@@ -49,15 +49,28 @@ def due_beats(activity: DataFrame, idle_seconds: int, until: str, by: tuple[str,
     return idle.select(*by, F.explode(F.sequence(F.col("at") + gap, F.col("end"), gap)).alias("at"), "end").where("at < end").drop("end")
 
 
+#: Beats are dealt with in blocks of 2^16 numbers.
+BLOCK_BITS = 16
+
+
 def beat_health(beats: DataFrame, returns: DataFrame, deadline_seconds: int, now: str) -> DataFrame:
     """(instance, seq, at, returned_at, degraded): whether each heartbeat came back through the stream in time.
 
-    Numbers grow, so the return of a later beat closes an earlier one. ``beats``: instance, seq, at; ``returns``: instance, seq, at.
+    Numbers grow, so the return of a later beat closes an earlier one. ``beats``: instance, seq, at; ``returns``: instance, seq, at. A return without an
+    instance or number closes nothing.
+
+    The earliest return from a number on is the smaller of that in the rest of its block and that of all later blocks. Both windows run from the largest
+    number down, as a frame that ends at the last row is computed anew for each row; no task holds more than a block, or one row a block.
     """
-    back = returns.select("instance", F.col("seq"), F.col("at").alias("_r"), F.lit(None).cast("timestamp_ntz").alias("_s"))
-    both = beats.select("instance", "seq", F.lit(None).cast("timestamp_ntz").alias("_r"), F.col("at").alias("_s")).unionByName(back)
-    w = Window.partitionBy("instance").orderBy("seq").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    first = both.withColumn("returned_at", F.min("_r").over(w)).where("_s IS NOT NULL")
+    none = F.lit(None).cast("timestamp_ntz")
+    back = returns.where("instance IS NOT NULL AND seq IS NOT NULL").select("instance", "seq", F.col("at").alias("_r"), none.alias("_s"))
+    both = beats.select("instance", "seq", none.alias("_r"), F.col("at").alias("_s")).unionByName(back).withColumn("_block", F.shiftright("seq", BLOCK_BITS))
+    blocks = both.groupBy("instance", "_block").agg(F.min("_r").alias("_b"))
+    after = Window.partitionBy("instance").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.select("instance", "_block", F.min("_b").over(after).alias("_later"))
+    rest = Window.partitionBy("instance", "_block").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = both.join(later, ["instance", "_block"], "left")
+    first = joined.withColumn("returned_at", F.least(F.min("_r").over(rest), "_later")).where("_s IS NOT NULL")
     end = F.coalesce("returned_at", F.lit(now).cast("timestamp_ntz"))
     late = end > F.col("_s") + F.make_dt_interval(secs=F.lit(deadline_seconds))
     return first.select("instance", "seq", F.col("_s").alias("at"), "returned_at", late.alias("degraded"))

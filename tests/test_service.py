@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import threading
 
@@ -193,6 +194,19 @@ def test_what_is_shed_first(spark):
     assert got == {"a": ("flush committed", None, None), "b": ("spill open transaction", "s", 2), "c": (None, None, None)}
 
 
+def test_returns_of_beats_are_found_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(flow, "BLOCK_BITS", 2, raising=False)
+    day = lambda n: None if n is None else datetime.datetime(2025, 1, 1) + datetime.timedelta(minutes=n)
+    beats = [("a", n, day(n)) for n in (-9, -8, 0, 1, 1, 3, 4, 7, 20, 41, 99)] + [("b", 5, day(5)), (None, 5, day(5)), ("a", None, day(5))]
+    returns = [("a", n, day(m)) for n, m in ((-8, 2), (1, 50), (1, 40), (3, None), (9, 30), (9, 90), (40, 400), (41, 300), (90, 200), (None, 1))] + [("b", 4, day(6)), (None, 9, day(9))]
+    schema = "instance string, seq bigint, at timestamp_ntz"
+    df = flow.beat_health(spark.createDataFrame(beats, schema), spark.createDataFrame(returns, schema), 3600, "2025-01-01 01:30:00")
+    first = {(i, n): min([t for j, m, t in returns if n is not None and i is not None and j == i and m is not None and m >= n and t], default=None) for i, n, _ in beats}
+    want = [(i, n, at, first[i, n], (first[i, n] or day(90)) > at + datetime.timedelta(hours=1)) for i, n, at in beats]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString(), "such a frame is computed anew for each row"
+
+
 def test_errors_and_health():
     class Other(Exception):
         pass
