@@ -91,7 +91,7 @@ def stream_transactions(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(aborts.select(bigint("xid"), bigint("sub_xid"), F.lit("abort").alias("kind"), F.lit("").alias("lsn"), none.alias("payload")))
         .unionByName(commits.select(bigint("xid"), bigint("xid").alias("sub_xid"), F.lit("commit").alias("kind"), F.col("commit_lsn").alias("lsn"), none.alias("payload")))
     )
-    messages.repartition(2, "xid").write.parquet(f"{root}/messages")
+    messages.repartition("xid").write.parquet(f"{root}/messages")
     stream = spark.readStream.schema(transactions.MESSAGES).parquet(f"{root}/messages")
     q = (
         transactions.committed(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/offsets")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,77 @@ def test_transactions_become_visible_at_commit(spark, tmp_path):
     assert run() == [(1, "a"), (1, "c"), (3, "open")]
 
 
+class Held:
+    """A state variable of one key."""
+
+    def __init__(self):
+        self.d = {}
+
+    def get(self):
+        return self.d.get(())
+
+    def update(self, value):
+        self.d[()] = value
+
+    def clear(self):
+        self.d.clear()
+
+    def getValue(self, key):  # noqa: N802
+        return self.d[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.d[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.d[key]
+
+
+@pytest.mark.parametrize("held", [1, 2000, 1 << 20])
+def test_gate_equals_a_plain_loop_over_batches(monkeypatch, held):
+    """Open for many batches, numbers used again, rollbacks before and after their rows, more than is held at once, parts of few rows."""
+    for k, v in {"PIECE": 3, "PACKED": 2, "HELD_BYTES": held}.items():
+        monkeypatch.setattr(transactions, k, v)
+    index, rows = Held(), Held()
+    gate = transactions._Gate()
+    gate.init(type("Handle", (), {"getValueState": lambda *_: index, "getMapState": lambda *_: rows})())
+    rnd, model, n = random.Random(7), {}, 0
+    for batch in range(60):
+        messages, ended = [], set()
+        for _ in range(rnd.randrange(1, 60)):
+            n, xid = n + 1, rnd.randrange(12)
+            sub = rnd.choice([xid, xid, xid * 10 + 1, xid * 10 + 2, None])
+            kind = rnd.choices(["change", "abort", "commit"], [60, 5 if sub != xid else 1, 6 if batch < 59 else 40])[0]
+            if kind == "commit" and (xid in ended or ended.add(xid)):
+                continue
+            messages.append((xid, xid if kind == "commit" else sub, kind, at(n), str(n) if kind == "change" else None))
+        want = []
+        for xid in {m[0] for m in messages}:
+            own, dead = model.setdefault(xid, ([], set()))
+            own += [(xid, m[1], m[3], m[4]) for m in messages if m[0] == xid and m[2] == "change"]
+            dead |= {m[1] for m in messages if m[0] == xid and m[2] == "abort" and m[1] is not None}
+            commit = next((m[3] for m in messages if m[0] == xid and m[2] == "commit"), None)
+            if xid in dead or commit:
+                want += [(*r, commit) for r in own if xid not in dead and r[1] not in dead]
+                del model[xid]
+        table = pa.Table.from_pylist([dict(zip(["bucket", *transactions.MESSAGE.names], (0, *m), strict=True)) for m in messages], pa.schema([("bucket", pa.int64()), *transactions.MESSAGE]))
+        packed = [b.to_pandas() for b in transactions._pack(iter(table.to_batches()))]
+        got = [tuple(r.values()) for pdf in gate.handleInputRows((0,), iter(packed), None) for r in pa.Table.from_pandas(pdf, preserve_index=False).to_pylist()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert len(rows.d) <= sum(len(own) for own, _ in model.values()), "a part without an open row is gone"
+
+
+def test_the_state_is_asked_by_bucket_not_by_transaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(transactions, "BUCKETS", 8, raising=False)
+    rows = [m for x in range(500) for m in ((x, x, "change", at(x), str(x)), (x, x, "commit" if x % 5 else "change", at(x + 1), None))]
+    spark.createDataFrame(rows, transactions.MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(transactions.MESSAGES).parquet(f"{tmp_path}/in")
+    q = transactions.committed(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.schema(transactions.OUT).parquet(f"{tmp_path}/out").count() == 400
+    asked = sum(p.stateOperators[0].customMetrics[k] for p in q.recentProgress for k in ("rocksdbGetCount", "rocksdbPutCount"))
+    assert asked < 100
+
+
 # Control store
 
 
